@@ -37,12 +37,17 @@ def _bin(value: Column, low: Column, high: Column) -> Column:
     ).otherwise(F.lit(0)).cast("long")
 
 
+def _in_range(values: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    # targets: one line per category, parameter and side
+    few = F.broadcast(targets)
+    joined = values.join(few, by) if by else values.crossJoin(few)
+    return joined.filter(F.col("_value").between(F.col("_low"), F.col("_high")))
+
+
 def _narrow(values: DataFrame, targets: DataFrame, by: list[str], slot: list[str]) -> DataFrame:
     """Replace each target's range by the histogram bin that holds its rank."""
     key = [*by, *slot]
-    inside = (
-        values.join(targets, by) if by else values.crossJoin(F.broadcast(targets))
-    ).filter(F.col("_value").between(F.col("_low"), F.col("_high")))
+    inside = _in_range(values, targets, by)
     bins = inside.groupBy(*key, "_rank", _bin(F.col("_value"), F.col("_low"), F.col("_high")).alias("_bin")).agg(
         F.sum("_count").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
     )
@@ -73,6 +78,8 @@ def exact_quantiles(
     """One row per group and parameter with the exact (interpolated) order statistic.
 
     NULL and NaN are skipped. With ``weight`` a value counts as that many rows.
+    ``by`` names category columns (sensor, sample, ...): there is one broadcast
+    line per category and parameter, so do not pass ids.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
@@ -113,9 +120,7 @@ def exact_quantiles(
         targets = _narrow(values, targets, by, slot)
 
     key = [*by, *slot]
-    last = (
-        values.join(targets, by) if by else values.crossJoin(F.broadcast(targets))
-    ).filter(F.col("_value").between(F.col("_low"), F.col("_high")))
+    last = _in_range(values, targets, by)
     run = Window.partitionBy(*key).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     found = (
         last.withColumn("_upto", F.sum("_count").over(run))
