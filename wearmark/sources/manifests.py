@@ -70,11 +70,14 @@ def read_folds_json(spark: SparkSession, path: str) -> DataFrame:
     return _require_disjoint(train.unionByName(held))
 
 
-def split_document(assignments: DataFrame, **attributes) -> DataFrame:
+def split_document(assignments: DataFrame, max_units: int = 1_000_000, **attributes) -> DataFrame:
     """One-row document with sorted id arrays per role, for export as JSON.
 
-    The arrays hold the ids of the unit table and nothing else.
+    A document is one row by nature, so it is refused above ``max_units`` units;
+    larger splits stay in the Parquet form.
     """
+    if assignments.limit(max_units + 1).count() > max_units:
+        raise ValueError(f"more than {max_units} units: use write_split")
     roles = ("train", "validation", "calibration")
     aggs = []
     for role in roles:
