@@ -5,6 +5,7 @@ from .columns import (
     clean,
     finite,
     general_format,
+    pearson,
     rounded,
     wall_micros,
 )
@@ -14,6 +15,7 @@ __all__ = [
     "clean",
     "finite",
     "general_format",
+    "pearson",
     "rounded",
     "wall_micros",
 ]

@@ -32,6 +32,14 @@ def clean(value: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson correlation, NULL when a side never varies (also in ANSI mode)."""
+    x, y = as_column(x).cast("double"), as_column(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def finite(value: str | Column) -> Column:
     """True for values that are neither NULL, NaN nor infinite."""
     c = as_column(value).cast("double")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import asymmetric_score
+from ..functions.columns import asymmetric_score, pearson
 from .quantiles import exact_median
 from .segments import UNIT
 
@@ -125,7 +125,7 @@ def multi_profile(
         groups.join(stats, ["split", "group"], "left")
         .fillna({"count": 0})
         .crossJoin(F.broadcast(total))
-        .withColumn("score_pct", F.col("score_sum") / F.col("_total") * 100)
+        .withColumn("score_pct", F.try_divide(F.col("score_sum"), F.col("_total")) * 100)
         .drop("_total")
     )
 
@@ -176,8 +176,8 @@ def error_correlation(
 ) -> DataFrame:
     e = F.col(p) - F.col(y)
     return df.groupBy(*by).agg(
-        F.corr(F.col(y).cast("double"), e).alias("corr_true_rul"),
-        F.corr(F.col(history).cast("double"), e).alias("corr_history"),
+        pearson(y, e).alias("corr_true_rul"),
+        pearson(history, e).alias("corr_history"),
     )
 
 
@@ -196,8 +196,8 @@ def late_share(df: DataFrame, by: Sequence[str] = (), y: str = "true_rul", p: st
     point, e = F.col("score_point"), F.col("error")
     total = F.sum(point)
     return rows.groupBy(*by).agg(
-        (F.sum(F.when(e > 0, point).otherwise(0.0)) / total).alias("late_share"),
-        (F.sum(F.when(e > FAR, point).otherwise(0.0)) / total).alias("far_late_share"),
+        F.try_divide(F.sum(F.when(e > 0, point).otherwise(0.0)), total).alias("late_share"),
+        F.try_divide(F.sum(F.when(e > FAR, point).otherwise(0.0)), total).alias("far_late_share"),
     )
 
 

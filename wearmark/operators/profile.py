@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_column, clean
+from ..functions.columns import as_column, clean, pearson
 from .quantiles import exact_median, exact_quantiles
 from .segments import ORDER, UNIT, number_rows
 
@@ -56,7 +56,7 @@ def varying_sensors(df: DataFrame, cols: Sequence[str], eps: float = CONSTANT_EP
 
 def sensor_target_corr(df: DataFrame, cols: Sequence[str], target: str = "rul") -> DataFrame:
     """Pearson correlation of each sensor with the target, strongest first."""
-    table = _per_column(df, cols, lambda c: F.corr(clean(c), F.col(target).cast("double")), "corr")
+    table = _per_column(df, cols, lambda c: pearson(clean(c), target), "corr")
     return table.filter(F.col("corr").isNotNull() & ~F.isnan("corr")).orderBy(F.desc(F.abs("corr")), "sensor")
 
 
@@ -65,7 +65,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = list(combinations_with_replacement(cols, 2))
     cells = []
     for a, b in pairs:
-        value = F.corr(clean(a), clean(b))
+        value = pearson(clean(a), clean(b))
         cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("corr")))
     half = df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_e")).select("_e.*")
     sides = F.when(

@@ -71,12 +71,11 @@ MIXED = models.FormulaModel(
         "sensor_2_latest": 0.0113,
         "sensor_2_slope": 0.7391,
     },
-    digits=6,
 )
 CANDIDATES = {
-    "age": models.FormulaModel(66.0, {"engine_age": -0.93, "sensor_1_std": 0.1317}, digits=6),
+    "age": models.FormulaModel(66.0, {"engine_age": -0.93, "sensor_1_std": 0.1317}),
     "mixed": MIXED,
-    "shallow": models.FormulaModel(52.0, {"engine_age": -0.61, "sensor_2_std": 0.1931}, digits=6),
+    "shallow": models.FormulaModel(52.0, {"engine_age": -0.61, "sensor_2_std": 0.1931}),
 }
 
 
@@ -115,8 +114,13 @@ def dev_folds(spark, sf) -> DataFrame:
     return splits.group_folds(dev, FOLDS, strict=False)
 
 
+def inner_stop():
+    """A seventh of the training units stop early, at least one."""
+    return F.greatest(F.floor(F.col("_n") / 7), F.lit(1))
+
+
 def inner_roles(assignments: DataFrame) -> DataFrame:
-    return splits.inner_split(assignments, F.floor(F.col("_n") / 7))
+    return splits.inner_split(assignments, inner_stop())
 
 
 def event_features(spark, sf, w=W, cols=("sensor_1", "sensor_2")) -> DataFrame:
@@ -411,8 +415,8 @@ def rul_describe(spark, sf):
 
 
 @query(
-    """SELECT quantile_cont(sensor_2, 0.01) AS q01, quantile_cont(sensor_2, 0.5) AS q50,
-  quantile_cont(sensor_2, 0.999) AS q999 FROM sup"""
+    """SELECT round(quantile_cont(sensor_2, 0.01), 4) AS q01, round(quantile_cont(sensor_2, 0.5), 4) AS q50,
+  round(quantile_cont(sensor_2, 0.999), 4) AS q999 FROM sup"""
 )
 def price_quantiles(spark, sf):
     q = profile.exact_quantiles(supplier_fleet(spark, sf), "sensor_2", [0.01, 0.5, 0.999])
@@ -422,7 +426,8 @@ def price_quantiles(spark, sf):
                 F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
                 for p, n in ((0.01, "q01"), (0.5, "q50"), (0.999, "q999"))
             ]
-        )
+        ),
+        digits=4,
     )
 
 
@@ -810,10 +815,21 @@ def full_window_counts(spark, sf):
 # ---- features ----------------------------------------------------------------
 
 
-def _feature_list(cols) -> str:
-    return ", ".join(
-        f"round({c}_{g}, 6) + 0.0 AS {c}_{g}" for g in features.GROUPS for c in cols
-    )
+def _feature_list(cols, totals: bool = False) -> str:
+    parts = []
+    for c in cols:
+        for g in features.GROUPS:
+            if g == "mean" and totals:
+                parts.append(f"round({c}_mean * history_length, 4) AS {c}_total")
+            else:
+                parts.append(f"round({c}_{g}, 6) + 0.0 AS {c}_{g}")
+    return ", ".join(parts)
+
+
+def with_totals(df: DataFrame, cols) -> DataFrame:
+    """Means over many rows as exact totals: a mean of two-decimal values can sit on a rounding edge."""
+    totals = {f"{c}_total": F.round(F.col(f"{c}_mean") * F.col("history_length"), 4) for c in cols}
+    return df.withColumns(totals).drop(*[f"{c}_mean" for c in cols])
 
 
 @query(
@@ -827,13 +843,13 @@ def features_dense(spark, sf):
 
 
 @query(
-    f"""SELECT unit_id, cycle, {_feature_list(["sensor_1", "sensor_2"])}, cycle::DOUBLE AS engine_age,
+    f"""SELECT unit_id, cycle, {_feature_list(["sensor_1", "sensor_2"], True)}, cycle::DOUBLE AS engine_age,
   history_length::DOUBLE AS history_length FROM full_dense"""
 )
 def features_dense_full_history(spark, sf):
-    return rounding(
-        features.dense_features(events_fleet(spark, sf), ["sensor_1", "sensor_2"], None, gapless=True)
-    )
+    cols = ["sensor_1", "sensor_2"]
+    dense = features.dense_features(events_fleet(spark, sf), cols, None, gapless=True)
+    return rounding(with_totals(dense, cols))
 
 
 @query(
@@ -845,17 +861,17 @@ def features_at_checkpoints(spark, sf):
 
 
 @query(
-    f"""SELECT unit_id, full_lifetime, cutoff_cycle, true_raw_rul, fraction, {_feature_list(["sensor_1", "sensor_2"])},
+    f"""SELECT unit_id, full_lifetime, cutoff_cycle, true_raw_rul, fraction, {_feature_list(["sensor_1", "sensor_2"], True)},
   engine_age, history_length::DOUBLE AS history_length FROM full_feats"""
 )
 def features_at_checkpoints_full(spark, sf):
-    return rounding(event_features(spark, sf, w=None))
+    return rounding(with_totals(event_features(spark, sf, w=None), ["sensor_1", "sensor_2"]))
 
 
 @query(
     """, supd AS (
   SELECT unit_id, cycle, avg(sensor_1) OVER f AS m, stddev_pop(sensor_1) OVER f AS d,
-         min(sensor_1) OVER f AS lo, max(sensor_1) OVER f AS hi, regr_slope(sensor_1, cycle::DOUBLE) OVER f AS k
+         min(sensor_1) OVER f AS lo, max(sensor_1) OVER f AS hi, CASE WHEN cycle > 1 THEN regr_slope(sensor_1, cycle::DOUBLE) OVER f ELSE 0 END AS k
   FROM sup WINDOW f AS (PARTITION BY unit_id ORDER BY cycle ROWS BETWEEN 89 PRECEDING AND CURRENT ROW))
 SELECT unit_id, round(sum(m), 3) AS mean_sum, round(sum(d), 3) AS std_sum, round(sum(lo), 3) AS min_sum,
   round(sum(hi), 3) AS max_sum, round(sum(k), 4) + 0.0 AS slope_sum, count(*) AS rows FROM supd GROUP BY unit_id"""
@@ -891,12 +907,12 @@ def features_legacy_padded(spark, sf):
 # ---- evaluation --------------------------------------------------------------
 
 
-@query("SELECT unit_id, cutoff_cycle, true_raw_rul, fraction, prediction + 0.0 AS prediction FROM pred")
+@query("SELECT unit_id, cutoff_cycle, true_raw_rul, fraction, round(prediction, 6) + 0.0 AS prediction FROM pred")
 def manifest_predictions(spark, sf):
     scored = evaluate.evaluate_manifest(
         events_fleet(spark, sf), event_manifest(spark, sf), MIXED, ["sensor_1", "sensor_2"], W, gapless=True
     )
-    return scored.select("unit_id", "cutoff_cycle", "true_raw_rul", "fraction", "prediction")
+    return rounding(scored.select("unit_id", "cutoff_cycle", "true_raw_rul", "fraction", "prediction"))
 
 
 @query(f"SELECT fraction, {metric_sql('true_raw_rul', 'prediction')} FROM pred GROUP BY fraction")
@@ -1275,7 +1291,10 @@ WHERE rank <= 5"""
 def _worst(spark, sf, on):
     rows = errors.worst_k(samples(spark, sf), "sample", 5, on, tie=["observed_cycles"])
     return rounding(
-        rows.select("sample", "unit_id", "observed_cycles", "true_rul", "error", "score_point", "rank")
+        rows.select(
+            "sample", "unit_id", "observed_cycles", "true_rul", "error", "score_point",
+            F.col("rank").cast("long").alias("rank"),
+        )
     )
 
 
@@ -1327,8 +1346,8 @@ OCCLUSION_SQL = """, base AS (
          66.0 + (-0.93) * engine_age + 0.0217 * m1 + 0.0113 * c + 0.7391 * d AS p1,
          66.0 + (-0.93) * engine_age + 0.0217 * a + 0.1317 * b + 0.0113 * m2 AS p2 FROM base
 ), deltas AS (
-  SELECT 'sensor_1' AS sensor, fraction, true_raw_rul, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM occ
-  UNION ALL SELECT 'sensor_2', fraction, true_raw_rul, round(p0, 6), round(p2, 6) FROM occ
+  SELECT 'sensor_1' AS sensor, fraction, true_raw_rul, p0, p1 FROM occ
+  UNION ALL SELECT 'sensor_2', fraction, true_raw_rul, p0, p2 FROM occ
 ), by_fraction AS (
   SELECT sensor, fraction, avg(abs(p1 - p0)) AS mean_abs_delta, avg(p1 - p0) AS mean_delta FROM deltas GROUP BY ALL
 )
@@ -1408,19 +1427,19 @@ def _trend_scorer(x, mask):
     seen = mask.sum(axis=1)
     level = (x[:, :, 0].astype("float64") * mask).sum(axis=1) / seen
     recent = x[:, -5:, 1].astype("float64").sum(axis=1)
-    return 40.0 + 0.5 * level + 0.01 * recent
+    return 40.0 + 0.4937 * level + 0.01 * recent
 
 
 @query(
     """, t AS (
   SELECT evr.*, 30 - (lifetime - cycle) AS slot FROM evr WHERE rul < 30
 ), m AS (SELECT unit_id, avg(sensor_1) AS level, sum(sensor_2) FILTER (slot > 25) AS recent FROM t GROUP BY unit_id)
-SELECT unit_id, lifetime AS end_cycle, round(40 + 0.5 * level + 0.01 * recent, 3) AS prediction FROM m JOIN life USING (unit_id)"""
+SELECT unit_id, lifetime AS end_cycle, round(40 + 0.4937 * level + 0.01 * recent, 2) AS prediction FROM m JOIN life USING (unit_id)"""
 )
 def sequence_scoring(spark, sf):
     seqs = windows.terminal_windows(events_fleet(spark, sf), ["sensor_1", "sensor_2"], W, gapless=True)
     scored = models.score_sequences(seqs.select("unit_id", "end_cycle", "seq", "mask"), _trend_scorer, W)
-    return scored.withColumn("prediction", F.round("prediction", 3))
+    return scored.withColumn("prediction", F.round("prediction", 2))
 
 
 def _terminal_full(spark, sf):
@@ -1549,7 +1568,7 @@ def nested_cv_boosted(spark, sf):
         2,
         candidates,
         ["sensor_1", "sensor_2"],
-        F.floor(F.col("_n") / 7),
+        inner_stop(),
     )
     return rows.drop("training_time")
 
@@ -1574,7 +1593,7 @@ def variant_comparison(spark, sf):
         ["sensor_1", "sensor_2"],
         SETTINGS,
         W,
-        F.floor(F.col("_n") / 7),
+        inner_stop(),
         k=4,
         params={"maxIter": 3, "maxDepth": 2},
         variants=("A", "D"),
@@ -1600,9 +1619,6 @@ def model_benchmark(spark, sf):
 
 # ---- serving -----------------------------------------------------------------
 
-SERVE = models.FormulaModel(MIXED.intercept, MIXED.weights)
-
-
 @query(
     """SELECT unit_id, 'v1' AS model_version, lifetime AS n_cycles_observed, lifetime < 60 AS history_is_padded,
   greatest(60 - lifetime, 0)::BIGINT AS n_padded_timesteps,
@@ -1616,14 +1632,14 @@ FROM (SELECT unit_id, lifetime, 66.0 + (-0.93) * lifetime + 0.0217 * sensor_1_me
 )
 def serve_batch(spark, sf):
     return serving.serve_batch(
-        events_fleet(spark, sf), SERVE, 9.5, ["sensor_1", "sensor_2"], 60, gapless=True
+        events_fleet(spark, sf), MIXED, 9.5, ["sensor_1", "sensor_2"], 60, gapless=True
     )
 
 
 @query("SELECT count(*) AS units, count(*) FILTER (lifetime < 60) AS padded_units FROM life")
 def fleet_padding(spark, sf):
     served = serving.serve_batch(
-        events_fleet(spark, sf), SERVE, 9.5, ["sensor_1", "sensor_2"], 60, gapless=True
+        events_fleet(spark, sf), MIXED, 9.5, ["sensor_1", "sensor_2"], 60, gapless=True
     )
     return serving.fleet_padding(served)
 
@@ -1685,7 +1701,7 @@ def stream_scorer(spark, sf):
         F.col("value").alias("sensor_1"),
         F.get_json_object("props", "$.k").cast("double").alias("sensor_2"),
     )
-    scored = scorer.stream_scorer(rows, SERVE, ["sensor_1", "sensor_2"], W, order="at")
+    scored = scorer.stream_scorer(rows, MIXED, ["sensor_1", "sensor_2"], W, order="at")
     path = new_table_path(spark, "stream")
     scorer.run_available(scored, path, path + "-checkpoint")
     out = spark.read.parquet(path)

@@ -15,7 +15,7 @@ def windowed_features(alias: str, cols, frame: str) -> str:
             f"stddev_pop({c}) OVER {frame} AS {c}_std",
             f"min({c}) OVER {frame} AS {c}_min",
             f"max({c}) OVER {frame} AS {c}_max",
-            f"coalesce(regr_slope({c}, cycle::DOUBLE) OVER {frame}, 0) AS {c}_slope",
+            f"CASE WHEN count(*) OVER {frame} > 1 THEN regr_slope({c}, cycle::DOUBLE) OVER {frame} ELSE 0 END AS {c}_slope",
             f"{c} - first_value({c}) OVER {frame} AS {c}_delta",
             f"CASE WHEN count(*) OVER {frame} >= 5 THEN avg({c}) OVER f5 ELSE {c} END AS {c}_last5_mean",
             f"CASE WHEN count(*) OVER {frame} >= 10 THEN avg({c}) OVER f10 ELSE {c} END AS {c}_last10_mean",
@@ -89,7 +89,7 @@ WITH ev AS (
          count(*) OVER (PARTITION BY fold) AS n
   FROM assigned WHERE role = 'outer_train'
 ), inner_roles AS (
-  SELECT unit_id, fold, CASE WHEN rank <= n - (n // 7) THEN 'inner_fit' ELSE 'inner_stop' END AS role
+  SELECT unit_id, fold, CASE WHEN rank <= n - greatest(n // 7, 1) THEN 'inner_fit' ELSE 'inner_stop' END AS role
   FROM inner_ranked
 ), fractions AS (
   SELECT unnest([0.25, 0.45, 0.65, 0.80, 0.95]::DOUBLE[]) AS fraction
@@ -125,19 +125,19 @@ WITH ev AS (
   FROM man JOIN full_dense d ON d.unit_id = man.unit_id AND d.cycle = man.cutoff_cycle
 ), pred AS (
   SELECT unit_id, full_lifetime, cutoff_cycle, true_raw_rul, fraction,
-         round(66.0 + (-0.93) * engine_age + 0.0217 * sensor_1_mean + 0.1317 * sensor_1_std
-               + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope, 6) AS prediction
+         66.0 + (-0.93) * engine_age + 0.0217 * sensor_1_mean + 0.1317 * sensor_1_std
+               + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope AS prediction
   FROM feats
 ), cand AS (
   SELECT 'age' AS candidate_id, unit_id, cutoff_cycle, true_raw_rul, fraction,
-         round(66.0 + (-0.93) * engine_age + 0.1317 * sensor_1_std, 6) AS prediction FROM feats
+         66.0 + (-0.93) * engine_age + 0.1317 * sensor_1_std AS prediction FROM feats
   UNION ALL
   SELECT 'mixed', unit_id, cutoff_cycle, true_raw_rul, fraction,
-         round(66.0 + (-0.93) * engine_age + 0.0217 * sensor_1_mean + 0.1317 * sensor_1_std
-               + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope, 6) FROM feats
+         66.0 + (-0.93) * engine_age + 0.0217 * sensor_1_mean + 0.1317 * sensor_1_std
+               + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope FROM feats
   UNION ALL
   SELECT 'shallow', unit_id, cutoff_cycle, true_raw_rul, fraction,
-         round(52.0 + (-0.61) * engine_age + 0.1931 * sensor_2_std, 6) FROM feats
+         52.0 + (-0.61) * engine_age + 0.1931 * sensor_2_std FROM feats
 ), fold_pred AS (
   SELECT cand.*, fold FROM cand JOIN folds USING (unit_id)
 ), unit_rows AS (
