@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .evaluate import metric_columns
-from .quantiles import exact_median, exact_quantiles, higher_rank
+from .quantiles import UNIT_LEVELS, exact_median, exact_quantiles, higher_rank
 from .segments import UNIT
 
 ALPHAS = (0.1, 0.2, 0.3)
@@ -44,12 +44,13 @@ def conformal_q(
     row-level quantile at level (n+1)(1-alpha)/n. They differ in general.
     """
     ranks = {"finite_sample": _finite_sample_rank, "higher": _row_level_rank}
-    q = exact_quantiles(scores, score, alphas, by, rank=ranks[rule], out="q", param="alpha")
-    sizes = scores.groupBy(*by).agg(F.count(score).alias("n"))
-    joined = q.join(F.broadcast(sizes), list(by)) if by else q.crossJoin(F.broadcast(sizes))
+    q = exact_quantiles(
+        scores, score, alphas, by, rank=ranks[rule], out="q", param="alpha", size="n", levels=UNIT_LEVELS
+    )
     if rule == "finite_sample":
-        joined = joined.withColumn("k", finite_sample_index(F.col("n").cast("double"), F.col("alpha")).cast("long"))
-    return joined
+        k = finite_sample_index(F.col("n").cast("double"), F.col("alpha")).cast("long")
+        return q.withColumn("k", k)
+    return q
 
 
 def cluster_scores(
@@ -119,7 +120,7 @@ def residual_summary(df: DataFrame, y: str = "true_raw_rul", p: str = "predictio
     """Mean, median and largest absolute residual."""
     r = F.abs(F.col(p) - F.col(y))
     plain = df.agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.max(r).alias("max"))
-    return plain.crossJoin(exact_median(df, r))
+    return plain.crossJoin(exact_median(df, r, levels=UNIT_LEVELS))
 
 
 def check_guarantee(coverage_rows: DataFrame, slack: float = 1e-9) -> DataFrame:

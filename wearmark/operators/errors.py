@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import asymmetric_score, pearson
-from .quantiles import exact_median
+from .quantiles import UNIT_LEVELS, exact_median
 from .segments import UNIT
 
 # History buckets (half-open) and the three inclusive bucketings.
@@ -166,7 +166,7 @@ def error_headline(df: DataFrame, by: Sequence[str] = (), y: str = "true_rul", p
         F.count_if(e > FAR).alias("late_far"),
         F.count_if(e < -FAR).alias("early_far"),
     )
-    median = exact_median(rows, "error", by, out="bias_median")
+    median = exact_median(rows, "error", by, out="bias_median", levels=UNIT_LEVELS)
     return plain.join(median, list(by)) if by else plain.crossJoin(median)
 
 

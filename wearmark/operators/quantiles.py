@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import clean
 
 BINS = 4096
+# narrowing steps: two leave about one value in 16 million for the final ordering
+# (row tables), one leaves one in 4096 (unit-sized tables)
 LEVELS = 2
+UNIT_LEVELS = 1
 
 # (group size n, parameter p) -> 0-based rank, fractional ranks are interpolated
 RankRule = Callable[[Column, Column], Column]
@@ -44,20 +47,25 @@ def _in_range(values: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame
     return joined.filter(F.col("_value").between(F.col("_low"), F.col("_high")))
 
 
+CARRIED = ["_place", "_total"]
+
+
 def _narrow(values: DataFrame, targets: DataFrame, by: list[str], slot: list[str]) -> DataFrame:
     """Replace each target's range by the histogram bin that holds its rank."""
     key = [*by, *slot]
-    inside = _in_range(values, targets, by)
-    bins = inside.groupBy(*key, "_rank", _bin(F.col("_value"), F.col("_low"), F.col("_high")).alias("_bin")).agg(
+    place = _bin(F.col("_value"), F.col("_low"), F.col("_high")).alias("_bin")
+    bins = _in_range(values, targets, by).groupBy(*key, *CARRIED, "_rank", place).agg(
         F.sum("_count").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")
     )
     run = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_upto") - F.col("_n")
     return (
         bins.withColumn("_upto", F.sum("_n").over(run))
-        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= before))
         .select(
             *key,
-            (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
+            *CARRIED,
+            (F.col("_rank") - before).alias("_rank"),
             F.col("_lo").alias("_low"),
             F.col("_hi").alias("_high"),
         )
@@ -73,13 +81,15 @@ def exact_quantiles(
     rank: RankRule = linear_rank,
     out: str = "quantile",
     param: str = "prob",
+    size: str | None = None,
     levels: int = LEVELS,
 ) -> DataFrame:
     """One row per group and parameter with the exact (interpolated) order statistic.
 
     NULL and NaN are skipped. With ``weight`` a value counts as that many rows.
     ``by`` names category columns (sensor, sample, ...): there is one broadcast
-    line per category and parameter, so do not pass ids.
+    line per category and parameter, so do not pass ids. ``size`` names an
+    output column for the number of rows in the group.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
@@ -94,53 +104,40 @@ def exact_quantiles(
         F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.sum("_count").alias("_total")
     )
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in params]))
-    places = (
+    sides = F.explode(F.array(F.lit(0), F.lit(1)))
+    side_rank = F.when(F.col("_side") == 0, F.floor("_place")).otherwise(F.ceil("_place"))
+    targets = (
         stats.filter(F.col("_total") > 0)
         .select(*by, "_low", "_high", "_total", wanted.alias(param))
         .withColumn("_place", rank(F.col("_total").cast("double"), F.col(param)))
-    )
-    sides = F.explode(F.array(F.lit(0), F.lit(1)))
-    targets = places.select(
-        *by,
-        param,
-        sides.alias("_side"),
-        "_low",
-        "_high",
-        "_place",
-    ).select(
-        *by,
-        param,
-        "_side",
-        F.when(F.col("_side") == 0, F.floor("_place")).otherwise(F.ceil("_place")).cast("long").alias("_rank"),
-        "_low",
-        "_high",
+        .select("*", sides.alias("_side"))
+        .withColumn("_rank", side_rank.cast("long"))
     )
     slot = [param, "_side"]
     for _ in range(levels):
         targets = _narrow(values, targets, by, slot)
 
     key = [*by, *slot]
-    last = _in_range(values, targets, by)
     run = Window.partitionBy(*key).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        last.withColumn("_upto", F.sum("_count").over(run))
+    reached = (
+        _in_range(values, targets, by)
+        .withColumn("_upto", F.sum("_count").over(run))
         .filter(F.col("_upto") > F.col("_rank"))
-        .groupBy(*key)
-        .agg(F.min("_value").alias("_found"))
-    )
-    pair = found.groupBy(*by, param).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_found"))).alias("_a"),
-        F.max(F.when(F.col("_side") == 1, F.col("_found"))).alias("_b"),
     )
-    joined = places.select(*by, param, "_place").join(pair, [*by, param])
-    share = F.col("_place") - F.floor("_place")
-    return joined.select(
-        *by, param, (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias(out)
+    lower, upper = (
+        F.min(F.when(F.col("_side") == i, F.col("_value"))) for i in (0, 1)
     )
+    share = F.max("_place") - F.floor(F.max("_place"))
+    sizes = [F.max("_total").alias(size)] if size else []
+    return reached.groupBy(*by, param).agg((lower + (upper - lower) * share).alias(out), *sizes)
 
 
 def exact_median(
-    df: DataFrame, value: str | Column, by: Sequence[str] = (), weight: Column | None = None,
+    df: DataFrame,
+    value: str | Column,
+    by: Sequence[str] = (),
+    weight: Column | None = None,
     out: str = "median",
+    levels: int = LEVELS,
 ) -> DataFrame:
-    return exact_quantiles(df, value, [0.5], by, weight, out=out).drop("prob")
+    return exact_quantiles(df, value, [0.5], by, weight, out=out, levels=levels).drop("prob")

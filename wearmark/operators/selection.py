@@ -100,7 +100,7 @@ def final_rounds(best_rounds: DataFrame, kind: str = "best_iteration") -> DataFr
     Iterations are 0-based, so one is added; epochs are counts already.
     """
     extra = 1 if kind == "best_iteration" else 0
-    medians = exact_median(best_rounds, kind, by=["candidate_id"])
+    medians = exact_median(best_rounds, kind, by=["candidate_id"], levels=0)
     folds = best_rounds.groupBy("candidate_id").agg(F.count(kind).alias("folds"))
     return medians.join(folds, "candidate_id").select(
         "candidate_id", (F.bround("median", 0).cast("long") + extra).alias("rounds"), "folds"
