@@ -1,7 +1,5 @@
 """Metrics, per-unit scores and drift checks."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -130,7 +128,7 @@ def evaluate_with_callable(
     )
     id_type = df.schema[u].dataType.simpleString()
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         history = group.drop(columns=["cutoff_cycle"]).sort_values(o).reset_index(drop=True)
         if preprocess is not None:
             history = preprocess(history)
