@@ -85,7 +85,7 @@ def test_late_and_repeated_rows_are_ignored(spark, tmp_path):
     out = tmp_path / "out"
     for batch in batches:
         spark.createDataFrame(batch, rows).coalesce(1).write.mode("append").parquet(str(source))
-        scored = scorer.latest_features(_stream(spark, source), ["s1"], 4, idle_minutes=600)
+        scored = scorer.latest_features(_stream(spark, source), ["s1"], 4)
         scorer.run_available(scored, str(out), str(tmp_path / "cp"))
     got = spark.read.parquet(str(out)).orderBy("engine_age").collect()
     assert [(r["cycle"], r["engine_age"], r["s1_mean"]) for r in got] == [(14, 5.0, 12.5), (15, 6.0, 13.5)]

@@ -40,7 +40,9 @@ def latest_features(
     arrive in any order inside and across batches as long as they are newer than
     the oldest kept row; older ones cannot enter the window any more and are
     dropped uncounted, as are repeats of a kept order key. With ``idle_minutes``
-    the state of silent units is removed.
+    the state of silent units is removed; that needs a processing-time trigger,
+    since such a timeout asks for further batches for ever and an availableNow
+    run would not end.
     """
     cols = list(cols)
     names = [f"{c}_{g}" for g in GROUPS for c in cols]
