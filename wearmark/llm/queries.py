@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import mixing, neardup, packing, quality, secrets, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,55 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
         "posterior",
         "votes",
     )
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns and Markov models."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.joined(F.col("secrets.base")), 256).alias("base_sha256"),
+        secrets.joined(F.array_sort(F.concat("secrets.base", "secrets.markov"))).alias("spans"),
+    )
+
+
+@query
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces and packed into windows of 4096 tokens."""
+    found = packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("length", F.col("length").cast("long"))
+
+
+@query
+def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is taken by the mix of sources."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.copies(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, balanced in bytes, tokens and rows."""
+    found = sharding.sharded(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "tokens",
+    )
