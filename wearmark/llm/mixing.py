@@ -26,7 +26,9 @@ WEIGHTS = (5, 2, 1)
 CEILING = 3
 NEWTON_ROUNDS = 40
 TOLERANCE = 1e-9
-BUCKETS = 1 << 12  # cuts of the keyed order per source; only one of them is walked row by row
+ORDER_BITS = 60
+BUCKET_SHIFT = 48  # the keyed order is cut into 4,096 buckets per source, of which one is walked row by row
+LEVELS = 4
 SEED = "mix"
 
 
@@ -109,62 +111,96 @@ def solved(table: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    order = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 60))
+    order = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << ORDER_BITS))
     return docs.withColumns(
         {"_size": n_words(text), "_order": order, "_source": F.col(source).cast("string")}
     )
 
 
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """Per source: ``source, source_size, target, rate, least, cut``.
-
-    A document of the source is taken ``least`` times, and once more if its keyed
-    order is below ``cut``. Rows that repeat an id have one order and are rounded
-    alike. Rows are summed per source and bucket before they are shuffled; only
-    the bucket that holds the cut is walked by row.
+    """Per source: ``source, source_size, target, rate, least, levels``.
+
+    A document of the source is taken ``least`` times, and once more if some
+    level takes it: its size is up to the level's ``_most`` and its keyed order
+    below the level's ``_cut``. The first level takes documents of any size while
+    they fit the tokens that remain; each further level takes later ones that
+    fit what the level before left. Rows that repeat an id have one order and
+    are rounded alike.
     """
     facts = written(
-        _keyed(docs, key, text, source).select("_source", "_size", "_order", F.shiftright("_order", 48).alias("_bucket")),
+        _keyed(docs, key, text, source).select("_source", "_size", "_order", F.shiftright("_order", BUCKET_SHIFT).alias("_bucket")),
         "sizes",
     )
-    sums = written(
-        facts.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n")), "sums"
-    )
-    sources = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size"))
+    sources = facts.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     solution = solved(targets(written(sources, "sources"), weights))
-    solution = solution.withColumn("least", F.floor("rate").cast("int"))
-    solution = written(solution.withColumn("_quota", (F.col("rate") - F.col("least")) * F.col("source_size")), "solution")
-
-    so_far = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    holds = (
-        sums.withColumn("_to", F.sum("_sum").over(so_far))
-        .join(small_side(solution), F.col("_source").eqNullSafe(F.col("source")))
-        .filter((F.col("_to") > F.col("_quota")) & (F.col("_to") - F.col("_sum") <= F.col("_quota")))
-        .select("source", F.col("_bucket").alias("_hit"), (F.col("_to") - F.col("_sum")).alias("_base"), "_quota")
+    solution = written(solution.withColumn("least", F.floor("rate").cast("int")), "solution")
+    quota = (F.col("rate") - F.col("least")) * F.col("source_size")
+    open_ = written(
+        solution.select("source", quota.alias("_quota"), F.lit(0).cast("long").alias("_from"), F.lit(1 << 62).alias("_most")),
+        "open",
     )
-    holds = written(holds, "cuts")
-    inside = Window.partitionBy("source").orderBy("_order")
-    walked = (
-        facts.join(
-            small_side(holds), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_bucket") == F.col("_hit"))
+    cuts = None
+    for _ in range(LEVELS):
+        level = written(_cut(facts, open_), "level")
+        found = level.select("source", F.struct("_most", "_cut").alias("_level"))
+        cuts = found if cuts is None else cuts.unionByName(found)
+        left = F.col("_quota") - F.col("_used")
+        open_ = level.select(
+            "source", left.alias("_quota"), F.col("_cut").alias("_from"), F.floor(left).cast("long").alias("_most")
         )
-        .groupBy("source", "_hit", "_base", "_quota", "_order")
-        .agg(F.sum("_size").alias("_size"))
-        .withColumn("_to", F.col("_base") + F.sum("_size").over(inside))
+    levels = cuts.groupBy(F.col("source").alias("_l_source")).agg(F.array_sort(F.collect_list("_level")).alias("levels"))
+    return solution.join(levels, F.col("source").eqNullSafe(F.col("_l_source")), "left").drop("_l_source")
+
+
+def _cut(facts: DataFrame, open_: DataFrame) -> DataFrame:
+    """``open_`` with ``_cut, _used``: rows from ``_from`` below ``_cut`` and up to ``_most`` words fit the quota.
+
+    Rows are summed per source and bucket before they are shuffled; only the
+    bucket in which the quota runs out is walked row by row.
+    """
+    live = facts.join(small_side(open_), F.col("_source").eqNullSafe(F.col("source"))).filter(
+        (F.col("_order") >= F.col("_from")) & (F.col("_size") <= F.col("_most"))
+    )
+    sums = live.groupBy("source", "_quota", "_bucket").agg(F.sum("_size").alias("_sum"))
+    so_far = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = written(sums.withColumn("_to", F.sum("_sum").over(so_far)), "sums")
+    full = sums.filter("_to <= _quota").groupBy("source").agg(
+        F.max(F.shiftleft(F.col("_bucket") + 1, BUCKET_SHIFT)).alias("_full_cut"), F.max("_to").alias("_full_used")
+    )
+    hit = sums.filter("_to > _quota").groupBy("source").agg(F.min("_bucket").alias("_hit"))
+    table = open_
+    for side in (full, hit):
+        side = side.withColumnRenamed("source", "_s")
+        table = table.join(side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    table = written(table, "hits")
+    edge = table.filter("_hit is not null").select(
+        F.col("source").alias("_e"), "_from", "_most", "_quota", "_hit", F.coalesce("_full_used", F.lit(0)).alias("_base")
     )
-    cut = walked.groupBy("source").agg(
-        F.coalesce(
-            F.max(F.when(F.col("_to") - F.col("_size") / 2 <= F.col("_quota"), F.col("_order") + 1)),
-            F.shiftleft(F.first("_hit"), 48),
-        ).alias("cut")
+    inside = Window.partitionBy("_e").orderBy("_order")
+    walked = (
+        facts.join(small_side(edge), F.col("_source").eqNullSafe(F.col("_e")) & (F.col("_bucket") == F.col("_hit")))
+        .filter((F.col("_order") >= F.col("_from")) & (F.col("_size") <= F.col("_most")))
+        .groupBy("_e", "_quota", "_base", "_order")
+        .agg(F.sum("_size").alias("_sum"))
+        .withColumn("_to", F.col("_base") + F.sum("_sum").over(inside))
+        .filter("_to <= _quota")
+        .groupBy("_e")
+        .agg(F.max("_order").alias("_last"), F.max("_to").alias("_walked"))
     )
-    cut = cut.withColumnRenamed("source", "_cut_source")
-    # a source without a cut is rounded down as a whole (its quota is its size only by float error)
-    return solution.join(cut, F.col("source").eqNullSafe(F.col("_cut_source")), "left").select(
-        "source", "source_size", "target", "rate", "least", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")
+    return table.join(walked, F.col("source").eqNullSafe(F.col("_e")), "left").select(
+        "source",
+        "_quota",
+        "_most",
+        F.coalesce(F.col("_last") + 1, "_full_cut", "_from").alias("_cut"),
+        F.coalesce("_walked", "_full_used", F.lit(0)).alias("_used"),
     )
 
 
+def _extra(size: Column, order: Column, levels: Column) -> Column:
+    """1 for rows that are taken once more than the rest of their source."""
+    return F.coalesce(F.exists(levels, lambda x: (size <= x["_most"]) & (order < x["_cut"])), F.lit(False)).cast("int")
+
+
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken, copies`` of every row.
 
@@ -175,7 +211,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     table = table.select(*[F.col(c).alias(f"_p_{c}") for c in table.columns])
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     rows = _keyed(docs, key, text, source).join(small_side(table), F.col("_source").eqNullSafe(F.col("_p_source")))
-    times = (F.col("_p_least") + (F.col("_order") < F.col("_p_cut")).cast("int")).cast("int")
+    times = F.col("_p_least") + _extra(F.col("_size"), F.col("_order"), F.col("_p_levels"))
     return rows.select(
         *kept,
         F.col("_size").alias("size"),
@@ -190,8 +226,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     table = written(plan(docs, key, text, source, weights), "plan")
     table = table.select(*[F.col(c).alias(f"_p_{c}") for c in table.columns])
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), *[F.col(c).alias(f"__{n}") for n, c in (("k", key), ("s", source))])
-    order = F.pmod(F.xxhash64(F.lit(SEED), F.col("__k")), F.lit(1 << 60))
-    placed = rows.join(small_side(table), F.col("__s").cast("string").eqNullSafe(F.col("_p_source")))
-    times = F.col("_p_least") + (order < F.col("_p_cut")).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), key, text, source)
+    rows = _keyed(rows, key, text, source).select("__row", "_source", "_size", "_order")
+    placed = rows.join(small_side(table), F.col("_source").eqNullSafe(F.col("_p_source")))
+    times = F.col("_p_least") + _extra(F.col("_size"), F.col("_order"), F.col("_p_levels"))
     return placed.select("__row", F.explode(F.array_repeat(F.lit(1), times)).alias("__n")).select("__row.*")

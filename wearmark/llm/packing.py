@@ -174,6 +174,7 @@ def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     table = places(patterns(histogram, window))
     numbered = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], ["doc_id", "start"], "_rank")
     kind = cut.schema["doc_id"].dataType.simpleString()
+    names = cut.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +188,13 @@ def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
                 inside = ranks[rows] - first[line]
                 sequences[rows] = sequence[line] + inside // per[line]
                 offsets[rows] = offset[line] + inside % per[line] * length
-            held = [batch.column(c) for c in cut.columns]
+            held = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*held, pa.array(sequences), pa.array(offsets)], names=[*cut.columns, "sequence_id", "offset"]
+                [*held, pa.array(sequences), pa.array(offsets)], names=[*names, "sequence_id", "offset"]
             )
 
     schema = PIECE.format(kind=kind) + ", sequence_id long, offset long"
-    return numbered.select(*cut.columns, "_rank").mapInArrow(run, schema)
+    return numbered.select(*names, "_rank").mapInArrow(run, schema)
 
 
 def packed_documents(
