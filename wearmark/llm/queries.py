@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, packing, quality, secrets, sharding
+from . import mixing, neardup, packing, permindex, pseudonyms, quality, secrets, sharding, toxicity, urlfilter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# The registered query has no secret to keep; a user passes a key of their own.
+DEMO_KEY = "demonstration key"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -87,3 +91,34 @@ def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "tokens",
     )
+
+
+@query
+def op3_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return permindex.neighbours(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+@query
+def op10_trust_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urlfilter.judged(read(spark, sf_dir, "pages"))
+
+
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by keyed pseudonyms."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, DEMO_KEY)
