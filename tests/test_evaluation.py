@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wearmark.plans import catalogue
 from wearmark.operators import conformal, errors, evaluate, models, selection
 
 
@@ -109,7 +110,9 @@ def test_labels_and_counts(spark):
          ("lstm", "variant=w90_cnone_all loss=mse"), ("rf", "variant=w90_c125_none")],
         "model string, notes string",
     )
-    got = {(r["model"], r["factor"]) for r in selection.label_factors(df).collect()}
+    rules = [(holds.replace('"', "`"), label.replace('"', "`")) for holds, label in catalogue.FACTOR_RULES]
+    runs = selection.parse_runs(df, "w30_c125_all")
+    got = {(r["model"], r["factor"]) for r in selection.label_runs(runs, rules).collect()}
     assert got == {
         ("gru", "composed A+B; B cap=45; C loss=huber; E architecture"),
         ("xgboost", "D sensors=varying"),
@@ -189,3 +192,14 @@ def test_exact_predictions_do_not_divide_by_zero(spark):
     df = spark.createDataFrame([(1, 30, 5.0, 5.0), (2, 30, 5.0, 5.0)], "unit_id long, observed_cycles long, true_rul double, prediction double")
     assert errors.late_share(df).first()["late_share"] is None
     assert errors.error_correlation(df).first()["corr_true_rul"] is None
+
+
+def test_last_buckets_are_open(spark):
+    df = spark.createDataFrame(
+        [(1, 20_000, 10.0, 12.0, 20_010), (2, 44, 12_000.0, 12_001.0, 12_044)],
+        "unit_id long, observed_cycles long, true_rul double, prediction double, implied_failure_cycle long",
+    )
+    rows = errors.bucket_profile(df).collect()
+    assert {(r["lower"], r["upper"], r["n"]) for r in rows} == {(0, 45, 1), (200, None, 1)}
+    shares = errors.multi_profile(df).groupBy("split").agg(F.sum("score_pct").alias("s"), F.sum("count").alias("n"))
+    assert all(r["n"] == 2 and r["s"] == pytest.approx(100) for r in shares.collect())

@@ -106,3 +106,26 @@ def test_linear_window_closed_form(spark):
     last = features.dense_features(df, ["x"], 30, gapless=True).filter("cycle = 30").first()
     assert last["x_slope"] == pytest.approx(2.0)
     assert last["x_latest"] == 58 and last["x_last5_mean"] == 54 and last["x_delta"] == 58
+
+
+@pytest.mark.parametrize("kind", ["outlier", "drift"])
+@pytest.mark.parametrize("size", [64, 65_536])
+def test_moments_keep_their_digits(spark, kind, size):
+    rng = np.random.default_rng(2)
+    x = 1e6 + rng.normal(0, 0.01, 300) if kind == "outlier" else np.arange(300) * 1e4 + rng.normal(0, 0.01, 300)
+    x[0] = 0.0
+    pdf = pd.DataFrame({"unit_id": 1, "cycle": range(1, 301), "s": x})
+    df = spark.createDataFrame(pdf)
+    for w in (30, None):
+        dense = features.dense_features(df, ["s"], w, gapless=True, segment_rows=size).toPandas()
+        check(dense, brute(pdf, w, ["s"]))
+        cuts = spark.createDataFrame([(1, c) for c in (40, 150, 300)], "unit_id long, cutoff_cycle long")
+        sparse = features.features_at(df, cuts, ["s"], w, gapless=True, segment_rows=size).toPandas()
+        want = brute(pdf, w, ["s"])
+        check(sparse.rename(columns={"cutoff_cycle": "cycle"}), want[want["cycle"].isin([40, 150, 300])])
+
+
+def test_manifest_lines_without_rows_raise(spark, noisy):
+    cuts = spark.createDataFrame([(1, 1), (77, 5)], "unit_id long, cutoff_cycle long")
+    with pytest.raises(Exception, match="no rows for unit 77"):
+        features.features_at(noisy, cuts, ["s1"], 5, gapless=True).collect()

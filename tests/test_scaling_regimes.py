@@ -81,3 +81,10 @@ def test_regime_scaling_centres_each_regime(regime_fleet):
     rows = regimes.variant_matrix(regime_fleet, pre)
     for r in rows.groupBy("regime").agg(F.avg("sensor_2").alias("m"), F.stddev_pop("sensor_2").alias("s")).collect():
         assert r["m"] == pytest.approx(0, abs=1e-9) and r["s"] == pytest.approx(1)
+
+
+def test_unseen_regime_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 3.0), (3, 1, 5.0)], "unit_id long, regime int, s double")
+    params = scaling.fit_scaler(df.filter("regime = 0"), ["s"], ["regime"])
+    with pytest.raises(Exception, match="no scaler was fitted for 1"):
+        scaling.apply_scaler(df, params, ["s"], ["regime"]).collect()

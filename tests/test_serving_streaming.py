@@ -74,18 +74,36 @@ def test_stream_over_several_batches_equals_batch(spark, noisy, tmp_path):
         assert r["prediction"] == pytest.approx(r["p"]) and r["n"] == r["engine_age"]
 
 
-def test_late_and_repeated_rows_are_ignored(spark, tmp_path):
+def test_every_row_counts(spark, tmp_path):
     source = tmp_path / "source"
     rows = "unit_id long, cycle long, s1 double, s2 double"
     batches = [
         [(1, c, float(c), 0.0) for c in range(10, 15)],
-        [(1, 14, 99.0, 0.0), (1, 3, 99.0, 0.0)],
+        [(1, 14, 20.0, 1.0), (1, 3, 99.0, 0.0)],
         [(1, 15, 15.0, 0.0)],
     ]
     out = tmp_path / "out"
     for batch in batches:
         spark.createDataFrame(batch, rows).coalesce(1).write.mode("append").parquet(str(source))
-        scored = scorer.latest_features(_stream(spark, source), ["s1"], 4)
+        scored = scorer.latest_features(_stream(spark, source), ["s1"], 4, tie="s2")
         scorer.run_available(scored, str(out), str(tmp_path / "cp"))
     got = spark.read.parquet(str(out)).orderBy("engine_age").collect()
-    assert [(r["cycle"], r["engine_age"], r["s1_mean"]) for r in got] == [(14, 5.0, 12.5), (15, 6.0, 13.5)]
+    # the repeated cycle enters by its tie, the late row only counts
+    assert [(r["cycle"], r["engine_age"], r["s1_mean"]) for r in got] == [(14, 5.0, 12.5), (14, 7.0, 14.75), (15, 8.0, 15.5)]
+
+
+@pytest.mark.parametrize("chunk", [10, 10_000])
+def test_age_does_not_depend_on_chunks(spark, tmp_path, chunk):
+    rng = np.random.default_rng(3)
+    order = rng.permutation(500)
+    rows = [(1, int(c) // 3, float(c), float(c % 3)) for c in order]
+    spark.createDataFrame(rows, "unit_id long, cycle long, s1 double, s2 double").coalesce(1).write.parquet(str(tmp_path / "source"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(chunk))
+    try:
+        scored = scorer.latest_features(_stream(spark, tmp_path / "source"), ["s1"], 30, tie="s2")
+        scorer.run_available(scored, str(tmp_path / "out"), str(tmp_path / "cp"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("engine_age")).first()
+    assert last["engine_age"] == 500 and last["s1_mean"] == pytest.approx(484.5)

@@ -90,3 +90,11 @@ def test_verify(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "table string, rows long")
     new = spark.createDataFrame([("a", 1), ("b", 3), ("c", 1)], "table string, rows long")
     assert {r["table"]: r["passed"] for r in fingerprint.verify_fingerprints(old, new).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_label_folder_keeps_file_order(spark, tmp_path):
+    (tmp_path / "part-0").write_text("1\n2\n")
+    (tmp_path / "part-1").write_text("\n".join(map(str, range(3, 40))) + "\n\n")
+    (tmp_path / "part-2").write_text("40\n")
+    got = {r["unit_id"]: r["true_rul"] for r in text.read_labels(spark, str(tmp_path)).collect()}
+    assert got == {i: i for i in range(1, 41)}

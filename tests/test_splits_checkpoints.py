@@ -111,3 +111,9 @@ def test_manifest_roles_terminal_and_diff(spark, ramp):
     assert diff.count() == 5 and diff.filter("side = 'right'").isEmpty()
     stacked = checkpoints.union_folds({1: a.filter("unit_id = 1"), 2: a.filter("unit_id = 2")})
     assert stacked.groupBy("fold").count().count() == 2
+
+
+def test_lifetime_of_one_is_an_error(spark):
+    life = spark.createDataFrame([(1, 1), (2, 50)], "unit_id long, lifetime long")
+    with pytest.raises(Exception, match="lifetime of 1"):
+        checkpoints.checkpoint_manifest(life).collect()

@@ -13,19 +13,22 @@ from .segments import ORDER, UNIT
 LATE_FRACTIONS = (0.50, 0.65, 0.80, 0.90, 0.95)
 BALANCED_FRACTIONS = (0.25, 0.45, 0.65, 0.80, 0.95)
 
-MANIFEST_COLUMNS = ["full_lifetime", "cutoff_cycle", "true_raw_rul", "fraction"]
-
 
 def checkpoint_manifest(
     life: DataFrame, fractions: Sequence[float] = BALANCED_FRACTIONS, u: str = UNIT
 ) -> DataFrame:
-    """Unit x fraction cutoffs, rounded half to even and kept inside ``1 .. L-1``."""
+    """Unit x fraction cutoffs, rounded half to even and kept inside ``1 .. L-1``.
+
+    A lifetime under 2 leaves no cycle before the end; such a unit is an error.
+    """
     share = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
     kept = [c for c in life.columns if c not in (u, "lifetime")]
     rows = life.select(u, *kept, F.col("lifetime").cast("long").alias("full_lifetime"), share.alias("fraction"))
     wanted = F.rint(F.col("fraction") * F.col("full_lifetime")).cast("long")
     cutoff = F.least(F.greatest(wanted, F.lit(1).cast("long")), F.col("full_lifetime") - 1)
-    return rows.withColumn("cutoff_cycle", cutoff).select(
+    short = F.concat(F.lit("no checkpoint fits a lifetime of "), F.col("full_lifetime").cast("string"))
+    checked = F.when(F.col("full_lifetime") < 2, F.raise_error(short).cast("long")).otherwise(cutoff)
+    return rows.withColumn("cutoff_cycle", checked).select(
         u,
         *kept,
         "full_lifetime",

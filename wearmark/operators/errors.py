@@ -10,23 +10,24 @@ from ..functions.columns import asymmetric_score, pearson
 from .quantiles import UNIT_LEVELS, exact_median
 from .segments import UNIT
 
-# History buckets (half-open) and the three inclusive bucketings.
-HISTORY_BUCKETS = ((0, 45), (45, 90), (90, 128), (128, 200), (200, 10_000))
+# History buckets (half-open) and the three inclusive bucketings;
+# a bound of None leaves the last bucket open.
+HISTORY_BUCKETS = ((0, 45), (45, 90), (90, 128), (128, 200), (200, None))
 PROFILE_BUCKETS = {
     "observed_history": (
         (0, 44, "padded_observed_lt_window"),
         (45, 127, "observed_45_127"),
-        (128, 10_000, "observed_ge_128"),
+        (128, None, "observed_ge_128"),
     ),
     "implied_lifetime": (
         (0, 127, "implied_lifetime_lt_128"),
-        (128, 10_000, "implied_lifetime_ge_128"),
+        (128, None, "implied_lifetime_ge_128"),
     ),
     "true_rul_bin": (
         (0, 29, "true_rul_0_29"),
         (30, 59, "true_rul_30_59"),
         (60, 99, "true_rul_60_99"),
-        (100, 10_000, "true_rul_ge_100"),
+        (100, None, "true_rul_ge_100"),
     ),
 }
 NEAR = 13
@@ -38,22 +39,29 @@ def with_errors(df: DataFrame, y: str = "true_rul", p: str = "prediction") -> Da
     return df.withColumns({"error": e, "abs_error": F.abs(e), "score_point": asymmetric_score(y, p)})
 
 
-def history_bucket(value: Column, buckets: Sequence[tuple[int, int]] = HISTORY_BUCKETS) -> Column:
+def _below(value: Column, bound: int | None, inclusive: bool = False) -> Column:
+    """``value`` under an upper bound; None has no bound."""
+    if bound is None:
+        return F.lit(True)
+    return value <= bound if inclusive else value < bound
+
+
+def history_bucket(value: Column, buckets: Sequence[tuple[int, int | None]] = HISTORY_BUCKETS) -> Column:
     """Lower bound of the half-open bucket; NULL outside all buckets."""
     out = F.lit(None).cast("int")
     for lo, hi in buckets:
-        out = F.when((value >= lo) & (value < hi), F.lit(lo)).otherwise(out)
+        out = F.when((value >= lo) & _below(value, hi), F.lit(lo)).otherwise(out)
     return out
 
 
 def bucket_profile(
     df: DataFrame,
-    buckets: Sequence[tuple[int, int]] = HISTORY_BUCKETS,
+    buckets: Sequence[tuple[int, int | None]] = HISTORY_BUCKETS,
     history: str = "observed_cycles",
     y: str = "true_rul",
     p: str = "prediction",
 ) -> DataFrame:
-    """Signed error by history length; bounds stay numeric, empty buckets drop out."""
+    """Signed error by history length; bounds stay numeric (NULL: open), empty buckets drop out."""
     rows = with_errors(df, y, p).withColumn("lower", history_bucket(F.col(history), buckets))
     upper = F.lit(None).cast("int")
     for lo, hi in buckets:
@@ -74,7 +82,7 @@ def bucket_profile(
 def multi_profile(
     df: DataFrame,
     window: int = 45,
-    buckets: dict[str, Sequence[tuple[int, int, str]]] = PROFILE_BUCKETS,
+    buckets: dict[str, Sequence[tuple[int, int | None, str]]] = PROFILE_BUCKETS,
     y: str = "true_rul",
     p: str = "prediction",
 ) -> DataFrame:
@@ -94,7 +102,7 @@ def multi_profile(
         tag = F.lit(None).cast("string")
         for lo, hi, group in parts:
             names.append((split, group))
-            tag = F.when((value >= lo) & (value <= hi), F.lit(group)).otherwise(tag)
+            tag = F.when((value >= lo) & _below(value, hi, inclusive=True), F.lit(group)).otherwise(tag)
         tags.append(F.struct(F.lit(split).alias("split"), tag.alias("group")))
     padded, full = f"padded_observed_lt_{window}", f"full_observed_ge_{window}"
     names += [("padded_vs_full", padded), ("padded_vs_full", full)]

@@ -68,56 +68,35 @@ def _recent_means(out: dict, cols: Sequence[str], ordered, seen: Column, limit:
 def _dense_windowed(rows, cols, w, u, o, keep, segment_rows) -> DataFrame:
     """Sliding frames; one shuffle by (unit, segment) and one sort serve all of them.
 
-    Sums come from running totals (value at the row minus value ``w`` rows
-    earlier), which costs the same for any ``w``; only min and max walk the frame.
-    Totals start anew in each segment and are taken relative to the segment's
-    first value, so they stay small.
+    Moments are computed over the frame itself. Differences of running totals
+    would cost less for long windows but lose all digits when one value towers
+    over the rest of a segment.
     """
     spread, _ = with_halo(rows, "_pos", w, segment_rows)
     ordered = segment_window(u, "_pos")
-    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     sliding = ordered.rowsBetween(-(w - 1), 0)
-    seen = F.least(F.col("_pos"), F.lit(w))
-
-    start = {"_t0": F.first("_pos").over(running)}
-    start.update({f"_x0_{c}": F.first(c).over(running) for c in cols})
-    based = spread.withColumns(start)
-    time = (F.col("_pos") - F.col("_t0")).cast("double")
-    totals = {}
-    for c in cols:
-        x = F.col(c) - F.col(f"_x0_{c}")
-        totals[f"_s_{c}"] = F.sum(x).over(running)
-        totals[f"_q_{c}"] = F.sum(x * x).over(running)
-        totals[f"_p_{c}"] = F.sum(time * x).over(running)
-    summed = based.withColumns(totals)
 
-    out: dict[str, Column] = {"_seen": seen}
+    out: dict[str, Column] = {"_seen": F.least(F.col("_pos"), F.lit(w))}
     for c in cols:
         out[f"{c}_min"] = F.min(c).over(sliding)
         out[f"{c}_max"] = F.max(c).over(sliding)
         out[f"{c}_delta"] = F.col(c) - F.first(c).over(sliding)
-        for kind in "sqp":
-            total = F.col(f"_{kind}_{c}")
-            out[f"_w{kind}_{c}"] = total - F.coalesce(F.lag(total, w).over(ordered), F.lit(0.0))
-    _recent_means(out, cols, ordered, seen, w)
-    framed = drop_halo(summed.withColumns(out))
-
-    n = F.col("_seen").cast("double")
-    mid_time = (F.col("_pos") - F.col("_t0")).cast("double") - (n - 1.0) / 2.0
+        out[f"_m_{c}"] = F.avg(c).over(sliding)
+        out[f"_v_{c}"] = F.var_pop(c).over(sliding)
+        out[f"_k_{c}"] = F.covar_pop("_pos", c).over(sliding)
+    _recent_means(out, cols, ordered, out["_seen"], w)
+    framed = drop_halo(spread.withColumns(out))
+
     final: list[Column] = []
     for c in cols:
-        s, q, p = F.col(f"_ws_{c}"), F.col(f"_wq_{c}"), F.col(f"_wp_{c}")
         flat = F.col(f"{c}_min") == F.col(f"{c}_max")
-        mean = F.when(flat, F.col(c)).otherwise(F.col(f"_x0_{c}") + s / n)
-        variance = F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
-        slope = (p / n - mid_time * s / n) / _time_variance(n)
         final += [
             F.col(c).alias(f"{c}_latest"),
-            mean.alias(f"{c}_mean"),
-            F.when(flat, F.lit(0.0)).otherwise(F.sqrt(variance)).alias(f"{c}_std"),
+            F.when(flat, F.col(c)).otherwise(F.col(f"_m_{c}")).alias(f"{c}_mean"),
+            F.when(flat, F.lit(0.0)).otherwise(F.sqrt(f"_v_{c}")).alias(f"{c}_std"),
             F.col(f"{c}_min"),
             F.col(f"{c}_max"),
-            F.when(flat, F.lit(0.0)).otherwise(slope).alias(f"{c}_slope"),
+            F.when(flat, F.lit(0.0)).otherwise(F.col(f"_k_{c}") / _time_variance(F.col("_seen"))).alias(f"{c}_slope"),
             F.col(f"{c}_delta"),
             *[F.col(f"{c}_last{k}_mean") for k in RECENT],
         ]
@@ -150,6 +129,13 @@ def _segment_facts(cols: Sequence[str]) -> list[Column]:
     return facts
 
 
+def _with_references(facts: DataFrame, cols: Sequence[str], u: str) -> DataFrame:
+    """The means of a unit's first segment: sums of later segments are taken relative to them, so they keep their digits."""
+    first = Window.partitionBy(u).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    names = {"_rt": "_tm", **{f"_r_{c}": f"_m_{c}" for c in cols}}
+    return facts.withColumns({out: F.first(c).over(first) for out, c in names.items()})
+
+
 def _dense_full(rows, cols, u, o, keep, segment_rows) -> DataFrame:
     """Running frames inside a segment, merged with the facts of all earlier segments."""
     spread, size = with_halo(rows, "_pos", max(RECENT) - 1, segment_rows)
@@ -160,22 +146,24 @@ def _dense_full(rows, cols, u, o, keep, segment_rows) -> DataFrame:
     facts = (
         rows.withColumn(SEGMENT, segment_of("_pos", size)).groupBy(u, SEGMENT).agg(*_segment_facts(cols))
     )
+    facts = _with_references(facts, cols, u)
     earlier = Window.partitionBy(u).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.col("_n")
-    before = {"_n0": F.coalesce(F.sum(n).over(earlier), F.lit(0)), "_t0": F.sum(n * F.col("_tm")).over(earlier)}
+    n, t = F.col("_n"), F.col("_tm") - F.col("_rt")
+    before = {"_n0": F.coalesce(F.sum(n).over(earlier), F.lit(0)), "_t0": F.sum(n * t).over(earlier)}
     for c in cols:
-        m = F.col(f"_m_{c}")
+        m = F.col(f"_m_{c}") - F.col(f"_r_{c}")
         before.update(
             {
                 f"_s0_{c}": F.sum(n * m).over(earlier),
                 f"_q0_{c}": F.sum(n * (F.col(f"_v_{c}") + m * m)).over(earlier),
-                f"_p0_{c}": F.sum(n * (F.col(f"_k_{c}") + m * F.col("_tm"))).over(earlier),
+                f"_p0_{c}": F.sum(n * (F.col(f"_k_{c}") + m * t)).over(earlier),
                 f"_lo0_{c}": F.min(f"_lo_{c}").over(earlier),
                 f"_hi0_{c}": F.max(f"_hi_{c}").over(earlier),
                 f"_f0_{c}": F.first(f"_first_{c}").over(earlier),
             }
         )
-    prior = facts.withColumns(before).select(u, SEGMENT, *before)
+    references = ["_rt", *[f"_r_{c}" for c in cols]]
+    prior = facts.withColumns(before).select(u, SEGMENT, *before, *references)
 
     # halo rows feed only the recent means, so running facts skip them
     real = lambda c: F.when(~F.col("_halo"), F.col(c))
@@ -197,13 +185,13 @@ def _dense_full(rows, cols, u, o, keep, segment_rows) -> DataFrame:
         u,
         o,
         *keep,
-        *_merged(cols, "_pos"),
+        *_merged(cols),
         F.col(o).cast("double").alias("engine_age"),
         F.col("_pos").cast("double").alias("history_length"),
     )
 
 
-def _merged(cols: Sequence[str], total: str) -> list[Column]:
+def _merged(cols: Sequence[str]) -> list[Column]:
     """Final features from earlier facts (suffix 0) and facts at hand (suffix 1)."""
     n0 = F.col("_n0").cast("double")
     n1 = F.col("_n1").cast("double")
@@ -211,10 +199,12 @@ def _merged(cols: Sequence[str], total: str) -> list[Column]:
     alone = F.col("_n0") == 0
     final: list[Column] = []
     for c in cols:
-        m0 = F.when(alone, F.lit(0.0)).otherwise(F.col(f"_s0_{c}") / n0)
-        t0 = F.when(alone, F.lit(0.0)).otherwise(F.col("_t0") / n0)
-        v0 = F.when(alone, F.lit(0.0)).otherwise(F.greatest(F.col(f"_q0_{c}") / n0 - m0 * m0, F.lit(0.0)))
-        k0 = F.when(alone, F.lit(0.0)).otherwise(F.col(f"_p0_{c}") / n0 - m0 * t0)
+        # earlier means relative to the unit's references, then absolute
+        dm = F.when(alone, F.lit(0.0)).otherwise(F.col(f"_s0_{c}") / n0)
+        dt = F.when(alone, F.lit(0.0)).otherwise(F.col("_t0") / n0)
+        v0 = F.when(alone, F.lit(0.0)).otherwise(F.greatest(F.col(f"_q0_{c}") / n0 - dm * dm, F.lit(0.0)))
+        k0 = F.when(alone, F.lit(0.0)).otherwise(F.col(f"_p0_{c}") / n0 - dm * dt)
+        m0, t0 = dm + F.col(f"_r_{c}"), dt + F.col("_rt")
         m1, v1, k1 = F.col(f"_m1_{c}"), F.col(f"_v1_{c}"), F.col(f"_k1_{c}")
         low = F.least(F.col(f"_lo0_{c}"), F.col(f"_lo1_{c}"))
         high = F.greatest(F.col(f"_hi0_{c}"), F.col(f"_hi1_{c}"))
@@ -268,8 +258,6 @@ def features_at(
     reach = w if w is not None else max(RECENT)
     first_segment = F.greatest(segment_of(F.col("_cut") - (reach - 1), size), F.lit(0))
     spread = placed.withColumn(SEGMENT, F.explode(F.sequence(first_segment, segment_of("_cut", size))))
-    if w is None:
-        spread = spread.withColumn("_first_segment", F.greatest(segment_of(F.col("_cut") - (reach - 1), size), F.lit(0)))
 
     segmented = rows.withColumn(SEGMENT, segment_of("_pos", size))
     near = segmented.join(spread, [u, SEGMENT]).filter(F.col("_pos") <= F.col("_cut"))
@@ -296,9 +284,10 @@ def features_at(
             "_n0", F.coalesce("_n0", F.lit(0))
         )
     else:
-        none = {"_n0": F.lit(0), "_t0": F.lit(None).cast("double")}
+        none = {"_n0": F.lit(0), "_t0": F.lit(None).cast("double"), "_rt": F.lit(None).cast("double")}
         for c in cols:
             none.update({f"_{k}0_{c}": F.lit(None).cast("double") for k in ("s", "q", "p", "lo", "hi", "f")})
+            none[f"_r_{c}"] = F.lit(None).cast("double")
         found = found.withColumns(none)
 
     length = F.col("_n0") + F.col("_n1")
@@ -311,11 +300,14 @@ def features_at(
     )
     features = found.select(
         *key,
-        *_merged(cols, "_cut"),
+        *_merged(cols),
         F.col("cutoff_cycle").cast("double").alias("engine_age"),
         length.cast("double").alias("history_length"),
     )
-    return manifest.join(features, key)
+    # a line without rows up to its cutoff must not vanish
+    missing = F.concat_ws(" ", F.lit("no rows for unit"), F.col(u).cast("string"), F.lit("at"), F.col("cutoff_cycle").cast("string"))
+    checked = F.when(F.col("engine_age").isNull(), F.raise_error(missing).cast("double")).otherwise(F.col("engine_age"))
+    return manifest.join(features, key, "left").withColumn("engine_age", checked)
 
 
 def _cut_positions(rows: DataFrame, keys: DataFrame, u: str, size: int) -> DataFrame:
@@ -341,18 +333,19 @@ def _cut_positions(rows: DataFrame, keys: DataFrame, u: str, size: int) -> DataF
 
 def _facts_before(segmented, placed, cols, u, size, reach) -> DataFrame:
     """Merged facts of all segments that lie wholly before the rows at hand."""
-    facts = segmented.groupBy(u, SEGMENT).agg(*_segment_facts(cols))
+    facts = _with_references(segmented.groupBy(u, SEGMENT).agg(*_segment_facts(cols)), cols, u)
     first_segment = F.greatest(segment_of(F.col("_cut") - (reach - 1), size), F.lit(0))
     wanted = placed.select(u, "cutoff_cycle", first_segment.alias("_first_segment"))
     early = facts.join(wanted, u).filter(F.col(SEGMENT) < F.col("_first_segment"))
-    n = F.col("_n")
-    aggs = [F.sum(n).alias("_n0"), F.sum(n * F.col("_tm")).alias("_t0")]
+    n, t = F.col("_n"), F.col("_tm") - F.col("_rt")
+    aggs = [F.sum(n).alias("_n0"), F.sum(n * t).alias("_t0"), F.max("_rt").alias("_rt")]
     for c in cols:
-        m = F.col(f"_m_{c}")
+        m = F.col(f"_m_{c}") - F.col(f"_r_{c}")
         aggs += [
             F.sum(n * m).alias(f"_s0_{c}"),
             F.sum(n * (F.col(f"_v_{c}") + m * m)).alias(f"_q0_{c}"),
-            F.sum(n * (F.col(f"_k_{c}") + m * F.col("_tm"))).alias(f"_p0_{c}"),
+            F.sum(n * (F.col(f"_k_{c}") + m * t)).alias(f"_p0_{c}"),
+            F.max(f"_r_{c}").alias(f"_r_{c}"),
             F.min(f"_lo_{c}").alias(f"_lo0_{c}"),
             F.max(f"_hi_{c}").alias(f"_hi0_{c}"),
             F.min_by(f"_first_{c}", SEGMENT).alias(f"_f0_{c}"),

@@ -57,11 +57,19 @@ def wide_params(params: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Replace ``cols`` by ``(x - mean) / scale``.
 
-    The broadcast side has one line per scope (global, fold or regime).
+    The broadcast side has one line per scope (global, fold or regime). A row
+    whose scope was not fitted is an error, not a lost row.
     """
-    wide = F.broadcast(wide_params(params, cols, by))
-    joined = df.join(wide, list(by)) if by else df.crossJoin(wide)
-    scaled = {c: (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_scale_{c}") for c in cols}
+    wide = F.broadcast(wide_params(params, cols, by).withColumn("_fitted", F.lit(True)))
+    joined = df.join(wide, list(by), "left") if by else df.crossJoin(wide)
+    unseen = F.col("_fitted").isNull()
+    message = F.concat_ws(" ", F.lit("no scaler was fitted for"), *[F.col(c).cast("string") for c in by])
+    scaled = {
+        c: F.when(unseen, F.raise_error(message).cast("double")).otherwise(
+            (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_scale_{c}")
+        )
+        for c in cols
+    }
     return joined.withColumns(scaled).select(df.columns)
 
 

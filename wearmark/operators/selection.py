@@ -132,42 +132,31 @@ def ablation_grid(
     return grid.join(done.select("experiment_id"), "experiment_id", "left_anti")
 
 
-def label_factors(df: DataFrame) -> DataFrame:
-    """Name the ablation factors of each run from its variant text; unlabelled runs drop out.
+def parse_runs(df: DataFrame, default: str, notes: str = "notes") -> DataFrame:
+    """Columns of a run's free-text notes of ``key=value`` words.
 
-    Variants read ``w<window>_c<cap>_<sensors>``.
+    ``variant`` (``default`` when not noted) is further cut at its underscores
+    into ``window``, ``cap`` and ``sensors``, each behind a letter of its own but
+    for the last; ``loss`` is ``-`` when not noted.
     """
-    # The base variant, the composed variant and the factor labels.
-    base, composed = "w30_c125_all", "w90_c45_all"
-    named = df.withColumn(
-        "variant",
-        F.when(
-            F.col("notes").contains("variant="),
-            F.regexp_extract("notes", r"^\s*[^\s=]*=([^\s=]*)", 1),
-        ).otherwise(F.lit(base)),
-    ).withColumn(
-        "loss",
-        F.when(F.col("notes").rlike(r"loss=\w+"), F.regexp_extract("notes", r"loss=(\w+)", 1)).otherwise("-"),
+    value = lambda key: F.regexp_extract(F.coalesce(F.col(notes), F.lit("")), rf"\b{key}=(\S+)", 1)
+    noted = lambda key, other: F.when(value(key) == "", F.lit(other)).otherwise(value(key))
+    named = df.withColumns({"variant": noted("variant", default), "loss": noted("loss", "-")})
+    part = lambda i: F.get(F.split("variant", "_"), F.lit(i))
+    behind = lambda c: F.substring(c, F.lit(2), F.length(c))
+    return named.withColumns(
+        {"window": behind(part(0)).try_cast("int"), "cap": behind(part(1)), "sensors": part(2)}
     )
-    window = F.regexp_extract("variant", r"w(\d+)", 1).cast("int")
-    cap = F.regexp_extract("variant", r"c(none|\d+)", 1)
-    sensors = F.regexp_extract("variant", r"w\d+_c(none|\d+)_(\w+)", 2)
-    deep = F.col("model").isin("lstm", "gru", "tcn")
-    factors = F.array(
-        F.when((F.col("variant") == composed) & (F.col("model") == "gru"), F.lit("composed A+B")),
-        F.when(
-            (window != 90) | (F.col("variant") == "w90_c125_all"),
-            F.concat(F.lit("A window="), window.cast("string")),
-        ),
-        F.when(cap != "125", F.concat(F.lit("B cap="), cap)),
-        F.when(deep & (F.col("loss") != "mse"), F.concat(F.lit("C loss="), F.col("loss"))),
-        F.when(sensors == "varying", F.lit("D sensors=varying")),
-        F.when(F.col("variant") == composed, F.lit("E architecture")),
-    )
-    kept = F.array_compact(factors)
-    return named.withColumn("_kept", kept).filter(F.size("_kept") > 0).withColumn(
-        "factor", F.array_join("_kept", "; ")
-    ).drop("_kept")
+
+
+def label_runs(df: DataFrame, rules: Sequence[tuple[str, str]], out: str = "factor") -> DataFrame:
+    """Join the labels of all rules that hold for a row; rows without a label drop out.
+
+    A rule is a pair of SQL expressions over the columns of ``df``: when it
+    holds, and the label it then gives.
+    """
+    labels = F.array_compact(F.array(*[F.expr(f"CASE WHEN {holds} THEN {label} END") for holds, label in rules]))
+    return df.withColumn(out, F.array_join(labels, "; ")).filter(F.col(out) != "")
 
 
 def check_prediction_counts(df: DataFrame, by: Sequence[str], keys: Sequence[str], expected: int) -> DataFrame:

@@ -1074,25 +1074,28 @@ RUN_NOTES = (
     "(CASE p_partkey % 3 WHEN 0 THEN '45' WHEN 1 THEN '125' ELSE 'none' END) || '_' || "
     "(CASE p_partkey % 2 WHEN 0 THEN 'all' ELSE 'varying' END)"
 )
+# When a run counts towards an ablation factor, and how it is labelled.
+FACTOR_RULES = (
+    ("variant = 'w90_c45_all' AND model = 'gru'", "'composed A+B'"),
+    ("\"window\" <> 90 OR variant = 'w90_c125_all'", "concat('A window=', \"window\")"),
+    ("cap <> '125'", "concat('B cap=', cap)"),
+    ("model IN ('lstm', 'gru', 'tcn') AND loss <> 'mse'", "concat('C loss=', loss)"),
+    ("sensors = 'varying'", "'D sensors=varying'"),
+    ("variant = 'w90_c45_all'", "'E architecture'"),
+)
 
 
 @query(
     f""", runs AS (
   SELECT p_partkey AS run_id, (CASE p_size % 4 WHEN 0 THEN 'gru' WHEN 1 THEN 'lstm' WHEN 2 THEN 'xgboost' ELSE 'rf' END) AS model,
-         split_part({RUN_NOTES}, '=', 2) AS variant,
+         {RUN_NOTES} AS noted, 15 * (p_size % 6 + 1) AS "window",
+         (CASE p_partkey % 3 WHEN 0 THEN '45' WHEN 1 THEN '125' ELSE 'none' END) AS cap,
+         (CASE p_partkey % 2 WHEN 0 THEN 'all' ELSE 'varying' END) AS sensors,
          (CASE p_partkey % 5 WHEN 0 THEN 'huber' WHEN 1 THEN '-' ELSE 'mse' END) AS loss
   FROM part
-), cut AS (
-  SELECT *, regexp_extract(variant, 'w(\\d+)', 1)::INT AS w, regexp_extract(variant, 'c(none|\\d+)', 1) AS cap,
-         regexp_extract(variant, 'w\\d+_c(none|\\d+)_(\\w+)', 2) AS sensors FROM runs
-), named AS (
-  SELECT run_id, model, variant, loss, concat_ws('; ',
-    CASE WHEN variant = 'w90_c45_all' AND model = 'gru' THEN 'composed A+B' END,
-    CASE WHEN w <> 90 OR variant = 'w90_c125_all' THEN 'A window=' || w END,
-    CASE WHEN cap <> '125' THEN 'B cap=' || cap END,
-    CASE WHEN model IN ('lstm', 'gru', 'tcn') AND loss <> 'mse' THEN 'C loss=' || loss END,
-    CASE WHEN sensors = 'varying' THEN 'D sensors=varying' END,
-    CASE WHEN variant = 'w90_c45_all' THEN 'E architecture' END) AS factor FROM cut
+), cut AS (SELECT *, substr(noted, 9) AS variant FROM runs), named AS (
+  SELECT run_id, model, variant, loss,
+    concat_ws('; ', {", ".join(f"CASE WHEN {holds} THEN {label} END" for holds, label in FACTOR_RULES)}) AS factor FROM cut
 )
 SELECT * FROM named WHERE factor <> ''"""
 )
@@ -1108,7 +1111,9 @@ def ablation_labels(spark, sf):
         ).alias("model"),
         F.concat(F.expr(RUN_NOTES), loss).alias("notes"),
     )
-    return selection.label_factors(runs).select("run_id", "model", "variant", "loss", "factor")
+    rules = [(holds.replace('"', "`"), label.replace('"', "`")) for holds, label in FACTOR_RULES]
+    labelled = selection.label_runs(selection.parse_runs(runs, "w30_c125_all"), rules)
+    return labelled.select("run_id", "model", "variant", "loss", "factor")
 
 
 @query(
@@ -1225,10 +1230,10 @@ def coverage_guarantee(spark, sf):
 
 
 @query(
-    """, b AS (SELECT * FROM (VALUES (0, 45), (45, 90), (90, 128), (128, 200), (200, 10000)) t(lower, upper))
+    """, b AS (SELECT * FROM (VALUES (0, 45), (45, 90), (90, 128), (128, 200), (200, NULL)) t(lower, upper))
 SELECT lower, upper, count(*) AS n, round(avg(prediction - true_rul), 6) + 0.0 AS mean_signed_error,
   round(avg((prediction > true_rul)::INT), 6) AS overprediction_share, round(avg(abs(prediction - true_rul)), 6) AS mean_abs_error
-FROM term JOIN b ON observed_cycles >= lower AND observed_cycles < upper GROUP BY lower, upper"""
+FROM term JOIN b ON observed_cycles >= lower AND (upper IS NULL OR observed_cycles < upper) GROUP BY lower, upper"""
 )
 def error_profile_history(spark, sf):
     return rounding(errors.bucket_profile(terminal_predictions(spark, sf)))
@@ -1237,11 +1242,11 @@ def error_profile_history(spark, sf):
 @query(
     """, b AS (SELECT * FROM (VALUES
   ('observed_history', 0, 44, 'padded_observed_lt_window'), ('observed_history', 45, 127, 'observed_45_127'),
-  ('observed_history', 128, 10000, 'observed_ge_128'), ('implied_lifetime', 0, 127, 'implied_lifetime_lt_128'),
-  ('implied_lifetime', 128, 10000, 'implied_lifetime_ge_128'), ('true_rul_bin', 0, 29, 'true_rul_0_29'),
+  ('observed_history', 128, NULL, 'observed_ge_128'), ('implied_lifetime', 0, 127, 'implied_lifetime_lt_128'),
+  ('implied_lifetime', 128, NULL, 'implied_lifetime_ge_128'), ('true_rul_bin', 0, 29, 'true_rul_0_29'),
   ('true_rul_bin', 30, 59, 'true_rul_30_59'), ('true_rul_bin', 60, 99, 'true_rul_60_99'),
-  ('true_rul_bin', 100, 10000, 'true_rul_ge_100'), ('padded_vs_full', 0, 44, 'padded_observed_lt_45'),
-  ('padded_vs_full', 45, 1000000000, 'full_observed_ge_45')) t(split, lo, hi, "group")
+  ('true_rul_bin', 100, NULL, 'true_rul_ge_100'), ('padded_vs_full', 0, 44, 'padded_observed_lt_45'),
+  ('padded_vs_full', 45, NULL, 'full_observed_ge_45')) t(split, lo, hi, "group")
 ), e AS (
   SELECT term.*, error, abs_error, score_point FROM term JOIN errs USING (unit_id) WHERE sample = 'official'
 )
@@ -1250,7 +1255,7 @@ SELECT split, "group", count(e.unit_id) AS count, round(avg(error), 6) + 0.0 AS
   round(sum(score_point), 4) AS score_sum, round(sum(score_point) / (SELECT sum(score_point) FROM e) * 100, 6) AS score_pct
 FROM b LEFT JOIN e ON lo <= CASE split WHEN 'implied_lifetime' THEN implied_failure_cycle WHEN 'true_rul_bin' THEN e.true_rul
     ELSE e.observed_cycles END
-  AND hi >= CASE split WHEN 'implied_lifetime' THEN implied_failure_cycle WHEN 'true_rul_bin' THEN e.true_rul
+  AND coalesce(hi, 9223372036854775807) >= CASE split WHEN 'implied_lifetime' THEN implied_failure_cycle WHEN 'true_rul_bin' THEN e.true_rul
     ELSE e.observed_cycles END
 GROUP BY split, "group\""""
 )
@@ -1692,13 +1697,8 @@ def file_scoring(spark, sf):
     return served
 
 
-@query(
-    """SELECT unit_id, lifetime AS n_cycles, round(66.0 + (-0.93) * lifetime + 0.0217 * sensor_1_mean
-    + 0.1317 * sensor_1_std + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope, 4) + 0.0 AS prediction
-FROM dense JOIN life USING (unit_id) WHERE cycle = lifetime"""
-)
-def stream_scorer(spark, sf):
-    """Stream the events table to its end and keep the newest prediction of each unit."""
+def _streamed(spark, sf, at):
+    """Newest prediction of each unit after streaming the events ordered by ``at``, then event id."""
     source = (
         spark.readStream.schema(table(spark, sf, "events").schema)
         .option("pathGlobFilter", "*.parquet")
@@ -1706,11 +1706,12 @@ def stream_scorer(spark, sf):
     )
     rows = source.select(
         F.col("user_id").alias("unit_id"),
-        wall_micros("ts").alias("at"),
+        at.alias("at"),
+        "event_id",
         F.col("value").alias("sensor_1"),
         F.get_json_object("props", "$.k").cast("double").alias("sensor_2"),
     )
-    scored = scorer.stream_scorer(rows, MIXED, ["sensor_1", "sensor_2"], W, order="at")
+    scored = scorer.stream_scorer(rows, MIXED, ["sensor_1", "sensor_2"], W, order="at", tie="event_id")
     path = new_table_path(spark, "stream")
     scorer.run_available(scored, path, path + "-checkpoint")
     out = spark.read.parquet(path)
@@ -1720,6 +1721,31 @@ def stream_scorer(spark, sf):
     )
 
 
+@query(
+    """SELECT unit_id, lifetime AS n_cycles, round(66.0 + (-0.93) * lifetime + 0.0217 * sensor_1_mean
+    + 0.1317 * sensor_1_std + 0.0113 * sensor_2_latest + 0.7391 * sensor_2_slope, 4) + 0.0 AS prediction
+FROM dense JOIN life USING (unit_id) WHERE cycle = lifetime"""
+)
+def stream_scorer(spark, sf):
+    """Stream the events table to its end and keep the newest prediction of each unit."""
+    return _streamed(spark, sf, wall_micros("ts"))
+
+
+@query(
+    f""", placed AS (
+  SELECT user_id AS unit_id, value AS s1, json_extract_string(props, '$.k')::DOUBLE AS s2,
+    count(*) OVER (PARTITION BY user_id) AS n,
+    row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id DESC) AS back FROM events
+), newest AS (SELECT * FROM placed WHERE back <= {W})
+SELECT unit_id, n AS n_cycles, round(66.0 + (-0.93) * n + 0.0217 * avg(s1) + 0.1317 * stddev_pop(s1)
+  + 0.0113 * max(s2) FILTER (back = 1) + 0.7391 * regr_slope(s2, -back), 4) + 0.0 AS prediction
+FROM newest GROUP BY unit_id, n"""
+)
+def stream_scorer_ties(spark, sf):
+    """The stream ordered by day only: ties are broken by event id and every row counts."""
+    return _streamed(spark, sf, F.floor(wall_micros("ts") / 86_400_000_000))
+
+
 # ---- fingerprints and sinks ---------------------------------------------------
 
 
@@ -1809,6 +1835,22 @@ def curated_results(spark, sf):
     return sinks.project_columns(fold_table(spark, sf), ["candidate_id", "fold", "notes", "units"])
 
 
+@query("SELECT row_number() OVER (ORDER BY unit_id) AS unit_id, lifetime::INT AS true_rul FROM life")
+def label_parts_round_trip(spark, sf):
+    """A label folder of three unequal files keeps its line order."""
+    path = new_table_path(spark, "label_parts")
+    life = event_lifetimes(spark, sf)
+    top = life.agg(F.max("unit_id").alias("_top"))
+    share = F.col("unit_id") / F.col("_top")
+    part = F.when(share < 0.05, "a").when(share < 0.3, "b").otherwise("c")
+    lines = life.crossJoin(F.broadcast(top)).select(
+        "unit_id", F.col("lifetime").cast("string").alias("value"), part.alias("part")
+    )
+    ordered = lines.repartitionByRange("part", "unit_id").sortWithinPartitions("part", "unit_id")
+    ordered.select("value", "part").write.partitionBy("part").text(path)
+    return text.read_labels(spark, path)
+
+
 @query(
     """SELECT unit_id + 1 AS unit_id, cycle, setting_1, setting_2, setting_3, sensor_1, sensor_2 FROM ev"""
 )

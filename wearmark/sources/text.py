@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.segments import number_rows
+
 # The canonical trajectory layout.
 SENSORS = [f"sensor_{i}" for i in range(1, 22)]
 SETTINGS = [f"setting_{i}" for i in range(1, 4)]
@@ -35,15 +37,26 @@ def read_trajectories(
 
 
 def read_labels(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """Positional label file: line i belongs to unit i (from 1)."""
+    """Positional label file: line i belongs to unit i (from 1).
+
+    A folder counts as its files in order of their names, whatever order and
+    splits Spark reads them in.
+    """
     if dataset is not None:
         path = f"{path}/RUL_{dataset}.txt"
-    values = spark.read.text(path).filter(F.trim("value") != "").select(
-        F.split(F.trim("value"), r"\s+")[0].cast("int").alias("true_rul")
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    values = lines.filter(F.trim("value") != "").select(
+        F.split(F.trim("value"), r"\s+")[0].cast("int").alias("true_rul"), "_file", "_block", "_line"
+    )
+    numbered = number_rows(
+        values, [], ["_file", "_block", "_line"], [F.col("_file"), F.col("_block")], "unit_id"
     )
-    # numbering lines needs file order, which only the RDD view exposes
-    numbered = values.rdd.zipWithIndex().map(lambda pair: (pair[1] + 1, pair[0][0]))
-    return spark.createDataFrame(numbered, "unit_id long, true_rul int")
+    return numbered.select("unit_id", "true_rul")
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import EXTRA, GROUPS, RECENT
@@ -33,16 +33,17 @@ def latest_features(
     u: str = UNIT,
     order: str = "cycle",
     idle_minutes: int | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Per micro-batch, the windowed features of every unit that got new rows.
 
-    State per unit: the last ``w`` rows and the number of rows seen. Rows may
-    arrive in any order inside and across batches as long as they are newer than
-    the oldest kept row; older ones cannot enter the window any more and are
-    dropped uncounted, as are repeats of a kept order key. With ``idle_minutes``
-    the state of silent units is removed; that needs a processing-time trigger,
-    since such a timeout asks for further batches for ever and an availableNow
-    run would not end.
+    State per unit: the newest ``w`` rows by ``order`` (rows of one order value
+    by ``tie``) and the number of rows seen. Every row counts, in whatever order
+    and chunks it arrives; a row older than the kept ones counts without
+    entering the window. The source is taken to deliver each row once. With
+    ``idle_minutes`` the state of silent units is removed; that needs a
+    processing-time trigger, since such a timeout asks for further batches for
+    ever and an availableNow run would not end.
     """
     cols = list(cols)
     names = [f"{c}_{g}" for g in GROUPS for c in cols]
@@ -50,7 +51,7 @@ def latest_features(
     out_schema = ", ".join(
         [f"{u} {id_type}", f"{order} long", *[f"{n} double" for n in [*names, *EXTRA]]]
     )
-    state_schema = "orders array<long>, tail array<double>, seen long"
+    state_schema = "orders array<long>, ties array<long>, tail array<double>, seen long"
     width = len(cols)
 
     def update(
@@ -60,31 +61,24 @@ def latest_features(
             state.remove()
             return
         if state.exists:
-            orders, tail, seen = state.get
-            orders = np.asarray(orders, dtype=np.int64)
+            orders, ties, tail, seen = state.get
+            orders, ties = np.asarray(orders, np.int64), np.asarray(ties, np.int64)
             tail = np.asarray(tail, dtype=float).reshape(-1, width)
         else:
-            orders, tail, seen = np.empty(0, np.int64), np.empty((0, width)), 0
-        changed = False
+            orders, ties, tail, seen = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width)), 0
+        before = seen
+        # the newest w rows of all chunks are the newest of the newest of each
         for batch in batches:
-            at = batch[order].to_numpy(np.int64)
-            rows = batch[cols].to_numpy(float)
-            fresh = ~np.isin(at, orders)
-            if len(orders) >= w:
-                fresh &= at > orders[0]
-            at, first = np.unique(at[fresh], return_index=True)
-            if not len(at):
-                continue
-            orders = np.concatenate([orders, at])
-            tail = np.concatenate([tail, rows[fresh][first]])
-            seen += len(at)
-            place = np.argsort(orders, kind="stable")[-w:]
-            orders, tail = orders[place], tail[place]
-            changed = True
-        state.update((orders.tolist(), tail.reshape(-1).tolist(), int(seen)))
+            seen += len(batch)
+            orders = np.concatenate([orders, batch[order].to_numpy(np.int64)])
+            ties = np.concatenate([ties, batch["_tie"].to_numpy(np.int64)])
+            tail = np.concatenate([tail, batch[cols].to_numpy(float)])
+            place = np.lexsort((ties, orders))[-w:]
+            orders, ties, tail = orders[place], ties[place], tail[place]
+        state.update((orders.tolist(), ties.tolist(), tail.reshape(-1).tolist(), int(seen)))
         if idle_minutes is not None:
             state.setTimeoutDuration(idle_minutes * 60_000)
-        if changed:
+        if seen > before:
             values = [*tail_features(tail), float(seen), float(len(tail))]
             line = {u: [key[0]], order: [int(orders[-1])]}
             line.update({n: [v] for n, v in zip([*names, *EXTRA], values)})
@@ -93,7 +87,8 @@ def latest_features(
     timeout = (
         GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
     )
-    return stream.select(u, order, *cols).groupBy(u).applyInPandasWithState(
+    second = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
+    return stream.select(u, order, second.alias("_tie"), *cols).groupBy(u).applyInPandasWithState(
         update, out_schema, state_schema, "append", timeout
     )
 
@@ -106,9 +101,10 @@ def stream_scorer(
     u: str = UNIT,
     order: str = "cycle",
     idle_minutes: int | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Streaming predictions: stateful features, then the model as JVM-side columns."""
-    return predict(latest_features(stream, cols, w, u, order, idle_minutes), model)
+    return predict(latest_features(stream, cols, w, u, order, idle_minutes, tie), model)
 
 
 def run_available(
