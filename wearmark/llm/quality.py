@@ -36,7 +36,10 @@ PRIOR_GOOD = 0.85
 # Pseudo-counts of the prior belief in a rule; they keep rarely voting rules near it.
 PRIOR_WEIGHT = 20.0
 # Rules are written for precision: a rule that votes is right on good texts at least this often.
-LEAST_RIGHT_GOOD = 0.998
+LEAST_RIGHT_GOOD = 0.999
+# Junk comes in kinds, and a rule sees one or two of them: bounds of P(votes bad | bad, votes). They keep
+# the bad class from narrowing to its most frequent kind.
+RIGHT_BAD = (0.15, 0.4)
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -172,7 +175,7 @@ def fit_posteriors(patterns: list[tuple[str, int]]) -> dict[str, float]:
     good = np.array([[c == "g" for c in p] for p, _ in patterns], float)
     bad = np.array([[c == "b" for c in p] for p, _ in patterns], float)
     right_good = np.full(good.shape[1], LEAST_RIGHT_GOOD)  # P(votes good | good, votes)
-    right_bad = np.full(good.shape[1], 0.40)  # P(votes bad | bad, votes): most rules miss most kinds of junk
+    right_bad = np.full(good.shape[1], RIGHT_BAD[1])  # P(votes bad | bad, votes): most rules miss most kinds of junk
     start_good, start_bad, prior = right_good.copy(), right_bad.copy(), PRIOR_GOOD
     posterior = np.zeros(len(counts))
     for _ in range(EM_ROUNDS):
@@ -186,7 +189,7 @@ def fit_posteriors(patterns: list[tuple[str, int]]) -> dict[str, float]:
         w_good, w_bad = counts * posterior, counts * (1 - posterior)
         right_good = (w_good @ good + PRIOR_WEIGHT * start_good) / (w_good @ (good + bad) + PRIOR_WEIGHT)
         right_bad = (w_bad @ bad + PRIOR_WEIGHT * start_bad) / (w_bad @ (good + bad) + PRIOR_WEIGHT)
-        right_good, right_bad = np.clip(right_good, LEAST_RIGHT_GOOD, 1 - 1e-6), np.clip(right_bad, 0.02, 1 - 1e-6)
+        right_good, right_bad = np.clip(right_good, LEAST_RIGHT_GOOD, 1 - 1e-6), np.clip(right_bad, *RIGHT_BAD)
         prior = (w_good.sum() + PRIOR_WEIGHT * PRIOR_GOOD) / (counts.sum() + PRIOR_WEIGHT)
     return {p: float(x) for (p, _), x in zip(patterns, posterior)}
 
