@@ -5,8 +5,8 @@ prefix, a long hexadecimal run). Unmarked ones are found by likelihood: one
 first-order Markov model describes random strings, another ordinary
 identifiers, and a token is a secret when the log-likelihood ratio favours the
 random one clearly. Both are trained from labelled samples: base matches and
-keyed random strings in common alphabets are random, all other long tokens of a
-bounded sample of documents are ordinary.
+keyed random strings in common alphabets are random, the words and identifiers
+of a bounded sample of documents are ordinary.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ MIN_TOKEN = 20  # shortest token the models judge
 MIN_TRAIN_TOKEN = 6
 TRAIN_ROWS = 5_000  # documents in the training sample, about
 RANDOM_STRINGS = 2_000
-SMOOTHING = 0.5
+BACKOFF = 20.0  # weight of single-character frequencies in a pair's probability
 MIN_RATIO = 12.0  # log-likelihood ratio of the whole token
 MIN_RATE = 0.6  # and per character
 MASK = "<secret>"
@@ -128,7 +128,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = sample.select(
         F.explode(F.regexp_extract_all(plain, F.lit(TOKEN + "{%d,}" % MIN_TRAIN_TOKEN), F.lit(0))).alias("token")
-    )
+    ).filter(F.length("token") < MIN_TOKEN)  # longer ones are what the models are to judge
     counted = _pair_counts(secrets.unionByName(keyed), "random").unionByName(_pair_counts(ordinary, "ordinary"))
     seen: dict[str, dict[tuple[int, int], int]] = {"random": {}, "ordinary": {}}
     for row in counted.collect():
@@ -137,11 +137,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
         cell[a, b] = cell.get((a, b), 0) + row["count"]
     logs = {}
     for label, cell in seen.items():
-        sums = [SMOOTHING * _STATES] * _STATES
-        for (a, _), n in cell.items():
-            sums[a] += n
+        # a pair not seen backs off to how frequent its second character is at all
+        after, single = [0.0] * _STATES, [1.0] * _STATES
+        for (a, b), n in cell.items():
+            after[a] += n
+            single[b] += n
+        whole = sum(single)
         logs[label] = [
-            math.log((cell.get((a, b), 0) + SMOOTHING) / sums[a]) for a in range(_STATES) for b in range(_STATES)
+            math.log((cell.get((a, b), 0) + BACKOFF * single[b] / whole) / (after[a] + BACKOFF))
+            for a in range(_STATES)
+            for b in range(_STATES)
         ]
     return [round(r - o, 5) for r, o in zip(logs["random"], logs["ordinary"])]
 
