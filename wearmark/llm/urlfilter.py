@@ -24,8 +24,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 30
-SETTLED = 1e-6  # largest change of a score that counts as none
+ROUNDS = 60
+SETTLED = 1e-4  # largest change of a score that counts as none
 MARGIN = 0.05  # distrust above trust from which a host is blocked
 SEED_SHARE = 0.5  # part of a host's pages that rules must judge alike to make it a seed
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
