@@ -7,8 +7,10 @@ its pivots in its own order and adds up the differences of positions, which is
 Spearman's footrule; the vectors with the smallest footrule are compared with
 the query by the exact inner product.
 
-For inner products the vectors are lifted by one coordinate that makes all
-norms equal, so that near in angle means large in product.
+Pivots see angles only, while the inner product also grows with the length of a
+vector: what the footrule says about the angle is therefore weighed by the
+length before vectors are ranked. For vectors of one length that is the order
+of the footrule itself.
 """
 
 from __future__ import annotations
@@ -50,18 +52,16 @@ def pivots_of(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     return np.array([r["embedding"] for r in first.collect()], np.float64)
 
 
-def positions_of(vectors: np.ndarray, pivots: np.ndarray, bound: float) -> np.ndarray:
-    """For each vector (a row) the position of every pivot in its order, nearest first; ties by pivot."""
-    norms = (pivots * pivots).sum(axis=1)
-    lift_pivot = np.sqrt(np.maximum(bound * bound - norms, 0))
-    lift = np.sqrt(np.maximum(bound * bound - (vectors * vectors).sum(axis=1), 0))
-    seen = np.argsort(-(vectors @ pivots.T + lift[:, None] * lift_pivot), axis=1, kind="stable")
+def positions_of(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each vector (a row) the position of every pivot in its order, nearest in angle first; ties by pivot."""
+    units = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    seen = np.argsort(-(vectors @ units.T), axis=1, kind="stable")
     places = np.empty(seen.shape, np.int16)
     np.put_along_axis(places, seen, np.arange(seen.shape[1], dtype=np.int16)[None, :].repeat(len(seen), 0), axis=1)
     return places
 
 
-def indexed(vectors: DataFrame, pivots: np.ndarray, bound: float) -> DataFrame:
+def indexed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``vec_id, vector, places``: raw 64-bit components and 16-bit pivot positions."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
@@ -71,7 +71,7 @@ def indexed(vectors: DataFrame, pivots: np.ndarray, bound: float) -> DataFrame:
                 continue
             lists = batch.column("embedding")
             table = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            places = positions_of(table, pivots, bound)
+            places = positions_of(table, pivots)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"),
@@ -94,16 +94,20 @@ def best_of_block(
     """
     ids, vectors, places = block
     files = np.ascontiguousarray(places.T)  # one inverted file per pivot
-    n = len(ids)
+    n, pivots = len(ids), places.shape[1]
+    random = max((pivots * pivots - 1) / 3, 1.0)  # mean footrule of two random orders
+    lengths = np.linalg.norm(vectors, axis=1)
     most = min(n, max(RERANK_LEAST, int(np.ceil(n * RERANK_SHARE))))
     out: list[tuple[np.ndarray, ...]] = []
     for q_id, q_vector, q_places in zip(*queries):
         footrule = np.zeros(n, np.int32)
         for pivot, place in enumerate(q_places):
             footrule += np.abs(files[pivot] - place)
-        key = footrule.astype(np.int64) * n + np.arange(n)
-        near = np.argpartition(key, most - 1)[:most] if most < n else np.arange(n)
-        near = np.sort(near[ids[near] != q_id])
+        promise = (1 - footrule / random) * lengths
+        least = np.partition(promise, n - most)[n - most]
+        near, level = np.flatnonzero(promise > least), np.flatnonzero(promise == least)
+        near = np.sort(np.concatenate([near, level[: most - len(near)]]))
+        near = near[ids[near] != q_id]
         # row by row, so equal vectors get equal sums
         products = (vectors[near] * q_vector).sum(axis=1)
         best = np.lexsort((ids[near], -products))[:k]
@@ -138,15 +142,13 @@ def neighbours(
     if lengths is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = written(rows.filter(F.size("embedding") == lengths["n"]), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    bound = float(rows.agg(F.max(norm)).first()[0])
     pivots = pivots_of(rows)
 
     plain = rows.select("vec_id", "embedding").distinct()
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     base = plain.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).drop("_n")
-    index = written(indexed(base, pivots, bound), "index")
-    asked = written(indexed(rows.filter("_q").select("vec_id", "embedding").distinct(), pivots, bound), "queries")
+    index = written(indexed(base, pivots), "index")
+    asked = written(indexed(rows.filter("_q").select("vec_id", "embedding").distinct(), pivots), "queries")
     n_blocks = max(1, -(-index.count() // INDEX_BLOCK))
     n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
     all_blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
