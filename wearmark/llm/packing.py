@@ -10,6 +10,7 @@ rank among pieces of the same length, so no piece visits the driver.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,43 +22,87 @@ from .common import ranked, text_or_empty, written
 
 WINDOW = 4096
 END_ID = 2
-CHUNK_CACHE = 400_000
+CHUNK_CACHE = 500_000
+ENCODE_ROWS = 200  # texts whose new chunks are looked up together
 # Spaces of str.split that the tokenizer does not treat as white space.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PIECE = "doc_id {kind}, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable Latin-1 as itself, others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit bytes, with a cache of white-space chunks.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its chunks in order.
+    text are those of its chunks in order. A chunk of letters only is one word
+    to it and goes to its model at once, as does a word before a comma or full
+    stop; all other chunks take the whole way.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _ODD_SPACE):
-            return self._encode([text])[0]
-        chunks = text.split()
+        self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by the whole tokenizer."""
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        if None in found.word_ids:  # a special token belongs to no word
+            each = (self.tokenizer.encode(c, add_special_tokens=False) for c in chunks)
+            return [np.array(e.ids, "<u4").tobytes() for e in each]
+        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, float)
+        ends = np.searchsorted(owner, np.arange(len(chunks)), side="right")
+        return [part.tobytes() for part in np.split(ids, ends[:-1])]
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _learn(self, fresh: set[str]) -> None:
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(cache) > CHUNK_CACHE:
-            cache.clear()
-        fresh = list({c for c in chunks if c not in cache})
-        cache.update(zip(fresh, self._encode(fresh)))
-        return b"".join(map(cache.__getitem__, chunks))
+        other = []
+        for chunk in fresh:
+            if chunk.isalpha():
+                cache[chunk] = self._word(chunk)
+            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
+                word = chunk[:-1]
+                if word not in cache:
+                    cache[word] = self._word(word)
+                cache[chunk] = cache[word] + self.marks[chunk[-1]]
+            else:
+                other.append(chunk)
+        if other:
+            cache.update(zip(other, self._whole(other)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        chunks: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            lower = text.lower()
+            # lower-casing first is the tokenizer's own order only for composed texts
+            composed = unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)
+            if composed and not any(c in text for c in _ODD_SPACE):
+                chunks[i] = lower.split()
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+                out[i] = np.array(found.ids, "<u4").tobytes()
+        if len(self.cache) > CHUNK_CACHE:
+            self.cache.clear()
+        self._learn(set().union(*chunks.values()).difference(self.cache))
+        look = self.cache.__getitem__
+        for i, parts in chunks.items():
+            out[i] = b"".join(map(look, parts))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -77,13 +122,15 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encode = encoders.get(tokenizer) or encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for batch in batches:
             at, starts, lengths, sums, totals = [], [], [], [], []
-            for i, cell in enumerate(batch.column("text")):
-                ids = memoryview(encode(cell.as_py()) + end)
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[start * 4 : (start + window) * 4]
-                    at.append(i), starts.append(start), lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part)), totals.append(total)
+            for low in range(0, batch.num_rows, ENCODE_ROWS):
+                texts = batch.column("text").slice(low, ENCODE_ROWS).to_pylist()
+                for i, found in enumerate(encode(texts), low):
+                    ids = memoryview(found + end)
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        part = ids[start * 4 : (start + window) * 4]
+                        at.append(i), starts.append(start), lengths.append(len(part) // 4)
+                        sums.append(zlib.crc32(part)), totals.append(total)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(at, pa.int64())),
