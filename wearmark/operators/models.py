@@ -106,6 +106,29 @@ def best_iteration(
     return best
 
 
+def save_model(model: PipelineModel | MeanModel | FormulaModel, path: str, spark) -> str:
+    """Store a fitted model in a folder any later session can load."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    elif isinstance(model, MeanModel):
+        model.mean.write.mode("overwrite").parquet(f"{path}/mean")
+    else:
+        parts = [(model.intercept, model.weights, model.digits)]
+        schema = "intercept double, weights map<string,double>, digits int"
+        spark.createDataFrame(parts, schema).write.mode("overwrite").parquet(f"{path}/formula")
+    return path
+
+
+def load_model(path: str, kind: str, spark) -> PipelineModel | MeanModel | FormulaModel:
+    """Load what ``save_model`` stored; ``kind`` is mean, formula or any fitted learner."""
+    if kind == "mean":
+        return MeanModel(spark.read.parquet(f"{path}/mean"))
+    if kind == "formula":
+        row = spark.read.parquet(f"{path}/formula").first()
+        return FormulaModel(row["intercept"], row["weights"], row["digits"])
+    return PipelineModel.load(path)
+
+
 def clip_predictions(df: DataFrame, cap: float, floor: float = 0.0) -> DataFrame:
     return df.withColumn(
         "prediction", F.greatest(F.least(F.col("prediction"), F.lit(float(cap))), F.lit(float(floor)))

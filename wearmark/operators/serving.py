@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.text import read_labels, read_trajectories
-from .checkpoints import terminal_manifest
 from .evaluate import metric_columns
 from .features import features_at, legacy_features
 from .models import clip_predictions, predict
@@ -16,6 +15,7 @@ from .segments import ORDER, UNIT
 
 def history_warning(n: Column, w: int) -> Column:
     """Warning text for short histories, NULL for full windows."""
+    # Fixed value: the wording of the warning.
     text = F.format_string(
         f"Limited observed history: only %d cycles observed; window {w} -> %d timesteps padded.",
         n.cast("long"),
@@ -25,8 +25,8 @@ def history_warning(n: Column, w: int) -> Column:
 
 
 def _terminal(df: DataFrame, u: str, o: str) -> DataFrame:
-    counted = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_cycles_observed"))
-    return terminal_manifest(df, u, o).join(counted, u)
+    """Last cycle and number of rows of every unit, from one aggregation."""
+    return df.groupBy(u).agg(F.max(o).alias("cutoff_cycle"), F.count(F.lit(1)).alias("n_cycles_observed"))
 
 
 def serve_batch(
@@ -35,13 +35,16 @@ def serve_batch(
     q: float,
     cols: Sequence[str],
     w: int,
-    mode: str = "full",
+    mode: str = "windowed",
     version: str = "v1",
     u: str = UNIT,
     o: str = ORDER,
     gapless: bool = False,
 ) -> DataFrame:
-    """Terminal prediction with interval, padding facts and the short-history warning."""
+    """Terminal prediction with interval, padding facts and the short-history warning.
+
+    The default mode reads the last ``w`` rows, as the models are trained.
+    """
     missing = {u, o} - set(df.columns)
     if missing:
         raise ValueError(f"frame must contain {sorted(missing)}")

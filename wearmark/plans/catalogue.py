@@ -1569,8 +1569,9 @@ def final_fit(spark, sf):
     dense = features.dense_features(fleet, ["sensor_1", "sensor_2"], W, keep=["rul"], gapless=True)
     inputs = features.feature_names(["sensor_1", "sensor_2"])
     model = models.fit_final(dense, roles, "boosted", inputs, TREE)
-    terminal = event_features(spark, sf).filter(F.col("fraction") == 0.95)
-    return models.predict(terminal, model).select("unit_id", "cutoff_cycle", "true_raw_rul", "prediction")
+    loaded = models.load_model(models.save_model(model, new_table_path(spark, "model"), spark), "boosted", spark)
+    scored = models.predict(event_features(spark, sf), loaded)
+    return scored.select("unit_id", "cutoff_cycle", "true_raw_rul", "fraction", "prediction")
 
 
 @query()
@@ -1623,10 +1624,9 @@ def model_benchmark(spark, sf):
         flows.Candidate("linear_w30_s42", "linear", W),
         flows.Candidate("boosted_w30_s42", "boosted", W, {"maxIter": 3, "maxDepth": 3}),
     ]
-    done = spark.createDataFrame([("boosted_w30_s42",)], "experiment_id string")
     rows = flows.run_benchmark(
         events_fleet(spark, sf), splits.split_units(event_lifetimes(spark, sf)), ["sensor_1", "sensor_2"],
-        candidates, done=done, results_path=new_table_path(spark, "benchmark"),
+        candidates, results_path=new_table_path(spark, "benchmark"),
     )
     return rows.drop("training_time")
 
@@ -1646,7 +1646,7 @@ FROM (SELECT unit_id, lifetime, 66.0 + (-0.93) * lifetime + 0.0217 * sensor_1_me
 )
 def serve_batch(spark, sf):
     return serving.serve_batch(
-        events_fleet(spark, sf), MIXED, 9.5, ["sensor_1", "sensor_2"], 60, gapless=True
+        events_fleet(spark, sf), MIXED, 9.5, ["sensor_1", "sensor_2"], 60, mode="full", gapless=True
     )
 
 
@@ -1851,6 +1851,96 @@ def label_parts_round_trip(spark, sf):
     return text.read_labels(spark, path)
 
 
+@query("SELECT unit_id, fold::INT AS fold, role FROM assigned")
+def folds_round_trip(spark, sf):
+    """Cross-validation assignments written per fold and read back."""
+    path = manifests.write_folds(splits.fold_assignments(dev_folds(spark, sf), FOLDS), new_table_path(spark, "folds"))
+    return manifests.read_folds(spark, path)
+
+
+@query("SELECT unit_id, lifetime FROM life WHERE lifetime % 3 <> 0")
+def append_rejects_duplicates(spark, sf):
+    """An append that would store a key twice is rejected as a whole."""
+    path = new_table_path(spark, "append")
+    life = event_lifetimes(spark, sf)
+    sinks.append_new(life.filter(F.col("lifetime") % 3 != 0), path, ["unit_id"], on_duplicate="fail")
+    try:
+        sinks.append_new(life, path, ["unit_id"], on_duplicate="fail")
+    except ValueError:
+        return spark.read.parquet(path)
+    raise AssertionError("the second append was not rejected")
+
+
+@query(
+    """SELECT unit_id, role, full_lifetime, cutoff_cycle, true_raw_rul, fraction FROM man JOIN split3 USING (unit_id)
+WHERE role = 'calibration'"""
+)
+def calibration_manifest(spark, sf):
+    return checkpoints.manifests_by_role(event_lifetimes(spark, sf), split3(spark, sf), roles=("calibration",))
+
+
+@query("SELECT unit_id, full_lifetime, cutoff_cycle, true_raw_rul, fraction, fold::INT AS fold FROM man JOIN folds USING (unit_id)")
+def fold_manifest_union(spark, sf):
+    """Manifests of the held-out units, fold by fold, stacked."""
+    folds = dev_folds(spark, sf)
+    parts = {
+        f: checkpoints.checkpoint_manifest(
+            event_lifetimes(spark, sf).join(folds.filter(F.col("fold") == f).select("unit_id"), "unit_id")
+        )
+        for f in range(1, FOLDS + 1)
+    }
+    return checkpoints.union_folds(parts)
+
+
+@query(
+    """SELECT "check", n = 0 AS passed, n AS offending FROM (
+  SELECT 'roles_disjoint' AS "check", count(*) AS n FROM (SELECT unit_id FROM split3 GROUP BY ALL HAVING count(DISTINCT role) > 1)
+  UNION ALL SELECT 'all_units_assigned', count(*) FROM (
+    SELECT DISTINCT l_suppkey AS unit_id FROM lineitem EXCEPT SELECT unit_id FROM split3)
+  UNION ALL SELECT 'no_unknown_units', count(*) FROM (
+    SELECT unit_id FROM split3 EXCEPT SELECT l_suppkey FROM lineitem))"""
+)
+def split_against_frame(spark, sf):
+    """The events split held against the units of another frame, which it does not cover."""
+    frame = supplier_fleet(spark, sf)
+    return splits.check_assignments(split3(spark, sf), frame.select("unit_id"))
+
+
+@query(
+    """SELECT unit_id, cutoff_cycle, true_raw_rul, fraction, round(2 * avg(sensor_1) + 0.5 * cutoff_cycle + count(*), 6) + 0.0 AS prediction
+FROM man JOIN ev USING (unit_id) WHERE cycle <= cutoff_cycle AND cycle > cutoff_cycle - 30
+GROUP BY unit_id, cutoff_cycle, true_raw_rul, fraction"""
+)
+def callable_evaluation(spark, sf):
+    """Any Python scorer over the last rows before each checkpoint, behind a preprocessing step."""
+    scored = evaluate.evaluate_with_callable(
+        events_fleet(spark, sf).select("unit_id", "cycle", "sensor_1"),
+        event_manifest(spark, sf),
+        lambda history, cutoff: float(history["twice"].mean() + 0.5 * cutoff + len(history)),
+        W,
+        preprocess=lambda history: history.assign(twice=history["sensor_1"] * 2),
+    )
+    return rounding(
+        scored.select("unit_id", "cutoff_cycle", "true_raw_rul", "fraction", "prediction"), ["prediction"]
+    )
+
+
+@query(
+    f""", fit AS (SELECT f.fold AS fold, avg(rul) AS mean FROM evr JOIN folds h USING (unit_id)
+  JOIN (SELECT DISTINCT fold FROM folds) f ON f.fold <> h.fold GROUP BY f.fold)
+SELECT 'mean_w30' AS candidate_id, folds.fold::INT AS fold, {metric_sql('true_raw_rul', 'mean')}
+FROM man JOIN folds USING (unit_id) JOIN fit ON fit.fold = folds.fold GROUP BY folds.fold"""
+)
+def resumed_cv(spark, sf):
+    """A cross-validation that stops after two folds and is resumed in the same folder."""
+    store = new_table_path(spark, "cv")
+    candidates = [flows.Candidate("mean_w30", "mean", W)]
+    folds, fleet = dev_folds(spark, sf), events_fleet(spark, sf)
+    flows.group_cv(fleet, folds, 2, candidates, ["sensor_1"], store=store)
+    _, predictions = flows.group_cv(fleet, folds, FOLDS, candidates, ["sensor_1"], store=store)
+    return metric_rounding(evaluate.metrics(predictions, by=["candidate_id", "fold"]))
+
+
 @query(
     """SELECT unit_id + 1 AS unit_id, cycle, setting_1, setting_2, setting_3, sensor_1, sensor_2 FROM ev"""
 )

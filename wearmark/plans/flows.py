@@ -11,6 +11,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import checkpoints, evaluate, models, regimes, selection, splits
@@ -71,9 +72,14 @@ def nested_cv(
     inner: bool = True,
     predict_mode: str = "windowed",
     gapless: bool = True,
+    store: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Cross-validation over unit folds; returns fold rows and predictions.
 
+    The predictions of a candidate and fold go to the folder ``store`` as soon as
+    they exist, and pairs found there are not fitted again: a run that broke off
+    is resumed by calling it once more with the same folder.
+
     With ``inner`` the stopping units come from inside each outer training set,
     so the held-out fold influences nothing. Held-out units are scored at their
     checkpoints. Each unit carries its own fold and the folds where it is a
@@ -99,41 +105,55 @@ def nested_cv(
     manifest = checkpoints.checkpoint_manifest(lifetimes(members).join(folds, UNIT), fractions)
     inputs = feature_names(cols)
 
-    predictions, control = None, []
-    for w in sorted({c.window for c in candidates}):
+    store = store or new_table_path(spark, "cv")
+    finished = _stored(spark, f"{store}/control", CONTROL)
+    # the grid is hand-written, so its finished pairs are few
+    done = {(r["candidate_id"], r["fold"]) for r in finished.select("candidate_id", "fold").collect()}
+    todo = [(c, f) for c in candidates for f in range(1, k + 1) if (c.id, f) not in done]
+    for w in sorted({c.window for c, _ in todo}):
         table = written(
             dense_features(targets, cols, w, keep=["rul", "fold", "stop_folds"], gapless=gapless), f"dense_w{w}"
         )
         reach = w if predict_mode == "windowed" else None
         held = written(features_at(members, manifest, cols, reach, gapless=gapless), f"held_w{w}")
-        for candidate in (c for c in candidates if c.window == w):
-            for f in range(1, k + 1):
-                started = time.perf_counter()
-                train = table.filter(F.col("fold") != f)
-                stopping = F.array_contains("stop_folds", f)
-                stop_rows = train.filter(stopping) if inner else None
-                model, best = _fit_two_stage(candidate, train.filter(~stopping), stop_rows, train, inputs)
-                control.append(
-                    (candidate.id, f, candidate.model, w, candidate.text, best, len(inputs),
-                     time.perf_counter() - started)
-                )
-                scored = models.predict(held.filter(F.col("fold") == f), model).select(
-                    F.lit(candidate.id).alias("candidate_id"),
-                    "fold",
-                    UNIT,
-                    "cutoff_cycle",
-                    "true_raw_rul",
-                    "fraction",
-                    "prediction",
-                )
-                predictions = scored if predictions is None else predictions.unionByName(scored)
-    predictions = written(predictions, "cv_predictions")
-    rows = evaluate.fold_rows(predictions).join(
-        F.broadcast(spark.createDataFrame(control, CONTROL)), ["candidate_id", "fold"]
+        for candidate, f in ((c, f) for c, f in todo if c.window == w):
+            started = time.perf_counter()
+            train = table.filter(F.col("fold") != f)
+            stopping = F.array_contains("stop_folds", f)
+            stop_rows = train.filter(stopping) if inner else None
+            model, best = _fit_two_stage(candidate, train.filter(~stopping), stop_rows, train, inputs)
+            spent = time.perf_counter() - started
+            scored = models.predict(held.filter(F.col("fold") == f), model).select(
+                F.lit(candidate.id).alias("candidate_id"),
+                "fold",
+                UNIT,
+                "cutoff_cycle",
+                "true_raw_rul",
+                "fraction",
+                "prediction",
+            )
+            # a pair that broke off before its control line is written over
+            scored.write.mode("overwrite").parquet(f"{store}/predictions/{candidate.id}-{f}")
+            line = (candidate.id, f, candidate.model, w, candidate.text, best, len(inputs), spent)
+            spark.createDataFrame([line], CONTROL).write.mode("append").parquet(f"{store}/control")
+    predictions = spark.read.parquet(
+        *[f"{store}/predictions/{c.id}-{f}" for c in candidates for f in range(1, k + 1)]
     )
+    control = _stored(spark, f"{store}/control", CONTROL)
+    rows = evaluate.fold_rows(predictions).join(F.broadcast(control), ["candidate_id", "fold"])
     return rows, predictions
 
 
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """A table that may not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def group_cv(df, folds, k, candidates, cols, **kwargs) -> tuple[DataFrame, DataFrame]:
     """Single-level cross-validation: no inner split, fixed rounds."""
     return nested_cv(df, folds, k, candidates, cols, 0, inner=False, **kwargs)
@@ -220,21 +240,23 @@ def run_benchmark(
 ) -> DataFrame:
     """Train/validation comparison of a grid; finished experiment ids are skipped.
 
-    Results go to ``results_path`` when given, keyed by experiment id, so an
+    Finished are the ids in ``done`` and those stored in ``results_path``. Each
+    result is appended there as it comes, keyed by experiment id, so an
     interrupted run can be resumed.
     """
     spark = df.sparkSession
-    finished = set()
-    if done is not None:
-        grid = spark.createDataFrame([(c.id,) for c in candidates], "experiment_id string")
-        finished = {r[0] for r in grid.join(done, "experiment_id", "left_semi").collect()}
+    results_path = results_path or new_table_path(spark, "benchmark")
+    grid = spark.createDataFrame([(c.id,) for c in candidates], "experiment_id string")
+    stored = _stored(spark, results_path, "experiment_id string")
+    for known in [stored] if done is None else [stored, done.select("experiment_id")]:
+        grid = grid.join(known, "experiment_id", "left_anti")
+    open_ids = {r[0] for r in grid.collect()}
     members = attach_units(df, assignments)
     train = add_target(members.filter(F.col("role") == "train"))
     held = members.filter(F.col("role") == "validation")
     manifest = checkpoints.checkpoint_manifest(lifetimes(held), fractions)
     inputs = feature_names(cols)
-    todo = [c for c in candidates if c.id not in finished]
-    out = None
+    todo = [c for c in candidates if c.id in open_ids]
     for w in sorted({c.window for c in todo}):
         dense = written(dense_features(train, cols, w, keep=["rul"], gapless=True), f"bench_w{w}")
         held_features = written(features_at(held, manifest, cols, w, gapless=True), f"bench_held_w{w}")
@@ -251,12 +273,8 @@ def run_benchmark(
                 "*",
                 F.lit(spent).alias("training_time"),
             )
-            out = row if out is None else out.unionByName(row)
-    if out is None:
-        if results_path is None:
-            raise ValueError("nothing left to run and no stored results")
-        return spark.read.parquet(results_path)
-    return append_new(out, results_path, ["experiment_id"]) if results_path else out
+            append_new(row, results_path, ["experiment_id"])
+    return spark.read.parquet(results_path)
 
 
 def choose(rows: DataFrame, candidates: Sequence[Candidate], k: int) -> DataFrame:

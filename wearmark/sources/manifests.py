@@ -87,3 +87,14 @@ def split_document(assignments: DataFrame, max_units: int = 1_000_000, **attribu
     for role in roles:
         doc = doc.withColumn(f"n_{role}", F.size(f"{role}_engine_ids"))
     return doc.withColumns({k: F.lit(v) for k, v in attributes.items()}) if attributes else doc
+
+
+def write_folds(assignments: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Cross-validation assignments ``(unit_id, fold, role)``, one folder per fold: no document holds all ids."""
+    _require_disjoint(assignments).write.mode(mode).partitionBy("fold", "role").parquet(path)
+    return path
+
+
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.parquet(path).select("unit_id", F.col("fold").cast("int").alias("fold"), "role")
+    return _require_disjoint(stored)
