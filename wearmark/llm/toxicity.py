@@ -22,8 +22,8 @@ from .common import text_or_empty, written
 
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the calibration are fitted on, at most about
 LEXICON = 20_000  # entries at most
-MIN_TOXIC = 5  # toxic training documents an entry stands in
-MIN_WEIGHT = 3.0  # log odds of an entry
+MIN_TOXIC = 3  # toxic training documents an entry stands in
+MIN_WEIGHT = 4.0  # log odds of an entry
 STEMS = range(4, 8)  # lengths of word stems
 HELD_OUT = 5  # one label in so many is never learned from
 NORM_WORDS = 100
@@ -113,12 +113,19 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         return {}
     counts = sample.mapInArrow(count, "entry string, clean bigint, toxic bigint")
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
+    summed = written(
+        counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "lexicon_counts"
+    )
+    # by chance one entry of all would stand in toxic documents this often (the binomial tail's exponent)
+    base = sizes[1] / (sizes[0] + sizes[1])
+    n, share = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    surprise = n * (share * F.log(share / base) + rest)
+    tried = max(summed.count(), 1)
     top = (
-        counts.groupBy("entry")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= MIN_TOXIC)
+        summed.filter(F.col("toxic") >= MIN_TOXIC)
         .withColumn("weight", odds)
-        .filter(F.col("weight") >= MIN_WEIGHT)
+        .filter((F.col("weight") >= MIN_WEIGHT) & (surprise >= math.log(tried)))
         .orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry")
         .limit(LEXICON)
     )
@@ -128,36 +135,38 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 def automaton_of(lexicon: dict[str, float], exceptions: Sequence[str], fold: Fold) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for entry, weight in lexicon.items():
-        machine.add_word(entry, (len(entry), weight))
+        machine.add_word(entry, (entry, weight))
     for phrase in exceptions:
         entry = f" {' '.join(folded_words(phrase, fold))} "
-        machine.add_word(entry, (len(entry), None))
+        machine.add_word(entry, (entry, None))
     if len(machine):
         machine.make_automaton()
     return machine
 
 
 def density(text: str | None, machine: ahocorasick.Automaton, fold: Fold) -> tuple[float, int]:
-    """Summed weight over the log-normalised length, and the number of matched words.
+    """Summed weight over the log-normalised length, and the number of entries that count.
 
-    A word counts once, with its heaviest entry; words inside an exception
-    phrase do not count. An empty text has density 0.
+    At each word the heaviest entry counts, and an entry counts once per text, so
+    repeating a word adds nothing; words inside an exception phrase do not
+    count. An empty text has density 0.
     """
     words = folded_words(text, fold)
     if not words or not len(machine):
         return 0.0, 0
-    best: dict[int, float] = {}
+    best: dict[int, tuple[float, str]] = {}
     spared: list[tuple[int, int]] = []
-    for end, (length, weight) in machine.iter(f" {' '.join(words)} "):
-        start = end - length + 1
+    for end, (entry, weight) in machine.iter(f" {' '.join(words)} "):
+        start = end - len(entry) + 1
         if weight is None:
             spared.append((start, end))
-        elif weight > best.get(start, 0.0):
-            best[start] = weight
+        elif start not in best or weight > best[start][0]:
+            best[start] = (weight, entry)
     for low, high in spared:
         for start in [s for s in best if low <= s < high]:
             del best[start]
-    return sum(best.values()) / (1 + math.log1p(len(words) / NORM_WORDS)), len(best)
+    found = set(best.values())
+    return sum(weight for weight, _ in sorted(found)) / (1 + math.log1p(len(words) / NORM_WORDS)), len(found)
 
 
 def calibrated(pairs: list[tuple[float, int]]) -> tuple[float, float]:
