@@ -23,7 +23,7 @@ from .common import text_or_empty, written
 TRAIN_ROWS = 20_000  # labelled documents that the lexicon and the calibration are fitted on, at most about
 LEXICON = 20_000  # entries at most
 MIN_TOXIC = 3  # toxic training documents an entry stands in
-MIN_WEIGHT = 4.0  # log odds of an entry
+MIN_WEIGHTS = (5.0, 4.0, 3.0)  # least log odds of an entry; the best for the sample is chosen on a part kept apart
 STEMS = range(4, 8)  # lengths of word stems
 HELD_OUT = 5  # one label in so many is never learned from
 NORM_WORDS = 100
@@ -70,7 +70,9 @@ def entries_of(words: set[str]) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``text, toxic`` of the training documents: labelled, not held out, a bounded hash sample.
+    """``text, toxic, apart`` of the training documents: labelled, not held out, a bounded hash sample.
+
+    ``apart`` marks a quarter that chooses the least weight and the calibration.
 
     Labels that are null are no labels. The sample keeps about ``rows`` labels, all of a smaller table.
     """
@@ -82,7 +84,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     limit = parts if total <= rows else max(1, parts * rows // total)
     # about `rows` lines by construction, so the broadcast is bounded
     kept = own.filter(F.pmod(F.xxhash64("_id"), F.lit(parts)) < limit)
-    return docs.join(F.broadcast(kept), F.col("doc_id") == F.col("_id")).select(text_or_empty().alias("text"), "toxic")
+    apart = (F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(HELD_OUT)) == 1).alias("apart")
+    return docs.join(F.broadcast(kept), F.col("doc_id") == F.col("_id")).select(
+        text_or_empty().alias("text"), "toxic", apart
+    )
 
 
 def held_out(key: Column) -> Column:
@@ -111,7 +116,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {}
-    counts = sample.mapInArrow(count, "entry string, clean bigint, toxic bigint")
+    counts = sample.select("text", "toxic").mapInArrow(count, "entry string, clean bigint, toxic bigint")
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
     summed = written(
         counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "lexicon_counts"
@@ -125,7 +130,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     top = (
         summed.filter(F.col("toxic") >= MIN_TOXIC)
         .withColumn("weight", odds)
-        .filter((F.col("weight") >= MIN_WEIGHT) & (surprise >= math.log(tried)))
+        .filter((F.col("weight") >= min(MIN_WEIGHTS)) & (surprise >= math.log(tried)))
         .orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry")
         .limit(LEXICON)
     )
@@ -209,6 +214,40 @@ def densities(docs: DataFrame, lexicon: dict[str, float], keep: list[str], excep
     return source.mapInArrow(run, schema)
 
 
+def _loss(pairs: list[tuple[float, int]], slope: float, offset: float) -> float:
+    """Mean logistic loss."""
+    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], float)
+    z = np.clip(slope * x + offset, -30, 30)
+    return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+
+def fitted(sample: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> tuple[dict[str, float], float, float]:
+    """Lexicon, slope and offset from ``labelled_sample``.
+
+    A lexicon of the larger part is judged on the part kept apart, which gives
+    the least weight and the calibration; the final lexicon then learns from
+    both parts. The densities collected for that are a bounded sample's.
+    """
+    trial = learn_lexicon(sample.filter("not apart"))
+    best = None
+    for least in MIN_WEIGHTS:
+        part = {e: w for e, w in trial.items() if w >= least}
+        found = densities(sample.filter("apart"), part, ["toxic"], exceptions).collect()
+        pairs = [(r["density"], r["toxic"]) for r in found]
+        if len({y for _, y in pairs}) < 2:
+            break
+        slope, offset = calibrated(pairs)
+        loss = _loss(pairs, slope, offset)
+        if best is None or loss < best[0]:
+            best = (loss, least, slope, offset)
+    lexicon = learn_lexicon(sample)
+    if best is None:  # one class only in the part kept apart, or nothing learned
+        pairs = [(r["density"], r["toxic"]) for r in densities(sample, lexicon, ["toxic"], exceptions).collect()]
+        return (lexicon, *calibrated(pairs if lexicon else []))
+    _, least, slope, offset = best
+    return {e: w for e, w in lexicon.items() if w >= least}, slope, offset
+
+
 def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_hits`` of every row of ``docs(doc_id, text, ...)``.
 
@@ -217,9 +256,7 @@ def scored(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEP
     of both classes nothing is learned and every score is the same low one.
     """
     sample = written(labelled_sample(docs, labels), "toxic_sample")
-    lexicon = learn_lexicon(sample)
-    pairs = [(r["density"], r["toxic"]) for r in densities(sample, lexicon, ["toxic"], exceptions).collect()] if lexicon else []
-    slope, offset = calibrated([(p, y) for p, y in pairs])
+    lexicon, slope, offset = fitted(sample, exceptions)
     score = 1 / (1 + F.exp(-(F.col("density") * slope + offset)))
     found = densities(docs.select("doc_id", "text"), lexicon, ["doc_id"], exceptions).withColumn("score", score)
     return found.select(
