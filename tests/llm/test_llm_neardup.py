@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -22,10 +23,12 @@ def brute_similarity(a: str, b: str, weights: np.ndarray) -> float:
     sets = []
     for text in (a, b):
         codes = neardup.shingles(text, neardup._WordHashes())
-        sets.append({int(c): n * float(weights[int(c) >> (32 - neardup.FEATURE_BITS)]) for c, n in Counter(codes.tolist()).items()})
+        idf = {int(c): float(weights[int(c) >> (32 - neardup.FEATURE_BITS)]) for c in codes}
+        sets.append({int(c): (1 + math.log(n)) * idf[int(c)] for c, n in Counter(codes.tolist()).items()})
     low = sum(min(w, sets[1].get(c, 0.0)) for c, w in sets[0].items())
     high = sum(sets[0].values()) + sum(sets[1].values()) - low
-    return low / high if high else 1.0
+    plain = len(sets[0].keys() & sets[1].keys()) / max(len(sets[0].keys() | sets[1].keys()), 1)
+    return max(low / high, plain) if high else 1.0
 
 
 def classes(links: list[tuple], items: list) -> dict:

@@ -7,11 +7,12 @@
    depends on the length of documents, not on their number.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
    text; a band of ``ROWS`` samples is a bucket key.
-4. Within a bucket texts are compared by their samples with leaders only, so a
-   group of copies gives a number of candidate pairs linear in its size. Large
-   buckets are cut into chunks whose leaders meet again.
+4. Within a bucket texts are compared by their samples; a pair is a candidate if
+   it lies on the maximum spanning forest or among the nearest of one of its
+   texts, so a group of copies gives a number of pairs linear in its size. Large
+   buckets are cut into chunks, and every text meets the leaders of the others.
 5. Candidate pairs are verified by the weighted Jaccard similarity of the whole
-   shingle sets, and links are joined into classes.
+   shingle sets (TF-IDF or unit weights), and links are joined into classes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_side, text_or_empty, written
+from .common import delete_written, small_side, text_or_empty, written
 from .graph import components
 
 WORDS = 5
@@ -36,10 +37,12 @@ ROWS = 4
 FEATURE_BITS = 18
 TABLE_BITS = 16
 CHUNK = 1_000  # texts of one bucket compared in one piece
-LIKELY = 0.55  # sampled similarity from which a pair is verified: four deviations below SIMILAR
-SURE = 0.92  # sampled similarity from which a text needs no further leader
+LIKELY = 0.6  # sampled similarity from which a pair is verified: over three deviations below SIMILAR
+NEAREST = 8  # partners that each text is paired with in any case
+LEADERS = 8  # texts of a group that meet the other chunks of their bucket
+LEADER_BLOCK = 4_000
 SEED = 20_11
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 ELEMENTS = 1 << 16  # shingles sketched at a time
 
 _BLOCK = 4096
@@ -144,20 +147,29 @@ def feature_weights(table: DataFrame) -> np.ndarray:
 
 
 def weighted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a sorted multiset and their TF-IDF weights."""
+    """Distinct shingles of a sorted multiset and their TF-IDF weights, ``(1 + ln tf) * idf``.
+
+    The logarithm keeps a line repeated a thousand times from being the whole text.
+    """
     first = _distinct(values)
     repeats = np.diff(np.append(first, len(values)))
     kept = values[first]
-    return kept, repeats.astype(np.float32) * weights[kept >> np.uint32(32 - FEATURE_BITS)]
+    return kept, (1 + np.log(repeats.astype(np.float32))) * weights[kept >> np.uint32(32 - FEATURE_BITS)]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two shingle multisets; 1 for two empty ones."""
+    """Weighted Jaccard similarity of two shingle multisets, by TF-IDF or by unit weights, whichever is larger.
+
+    In a very large group of near copies what is shared is frequent and so
+    weighs less than what differs; unit weights keep its links. 1 for two empty
+    multisets.
+    """
     (ka, wa), (kb, wb) = weighted(a, weights), weighted(b, weights)
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     low = np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64)
     whole = wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - low
-    return float(low / whole) if whole > 0 else 1.0
+    either = len(ka) + len(kb) - len(ia)
+    return max(float(low / whole), len(ia) / either) if either else 1.0
 
 
 class Sampler:
@@ -237,90 +249,130 @@ def sketched(table: DataFrame, weights: np.ndarray) -> DataFrame:
     return table.select("node", "shingles").mapInArrow(run, "node binary, bands array<bigint>, codes binary")
 
 
-def candidates_of(nodes: list[bytes], codes: list[bytes]) -> tuple[list[tuple[bytes, bytes]], list[int]]:
-    """Candidate pairs of one bucket chunk, and the positions of its leaders.
+def candidates_of(table: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Candidate pairs of rows of sample codes, and rows that stand for their group.
 
-    Leaders are taken in order; a leader is paired with every text that is not
-    settled yet and looks similar, and texts that look nearly equal are settled
-    by it. Towards settled texts a later leader keeps its best bridge per group.
+    A row is paired with its ``NEAREST`` most similar ones, and the edges of the
+    maximum spanning forest join what is similar at all, so pairs grow with the
+    rows. Leaders are the ``LEADERS`` rows with most pairs in each tree.
     """
-    order = sorted(range(len(nodes)), key=nodes.__getitem__)
-    table = np.frombuffer(b"".join(codes[i] for i in order), np.uint32).reshape(len(order), -1)
-    owner = np.full(len(order), -1)
-    pairs, leaders = [], []
-    for i in range(len(order)):
-        if owner[i] >= 0:
-            continue
-        alike = (table == table[i]).mean(axis=1)
-        owner[i] = i
-        leaders.append(order[i])
-        settled = owner >= 0
-        near = np.flatnonzero(alike >= LIKELY)
-        bridges: dict[int, int] = {}
-        for j in near:
-            if j == i:
-                continue
-            if not settled[j]:
-                pairs.append((nodes[order[i]], nodes[order[j]]))
-            elif owner[j] not in bridges or alike[j] > alike[bridges[owner[j]]]:
-                bridges[owner[j]] = j
-        pairs += [(nodes[order[i]], nodes[order[j]]) for j in bridges.values()]
-        owner[(alike >= SURE) & ~settled] = i
-    return pairs, leaders
+    n = len(table)
+    if n == 2:
+        return ([(0, 1)] if (table[0] == table[1]).mean() >= LIKELY else []), [0, 1]
+    alike = np.empty((n, n), np.float32)
+    for i in range(n):
+        alike[i] = (table == table[i]).mean(axis=1)
+    alike[alike < LIKELY] = 0
+    np.fill_diagonal(alike, 0)
+    near = np.argsort(-alike, axis=1, kind="stable")[:, :NEAREST]
+    pairs = {(min(i, j), max(i, j)) for i in range(n) for j in near[i].tolist() if alike[i, j]}
+    # Prim: the row most similar to the tree so far joins it; none similar starts a new tree
+    left = np.ones(n, bool)
+    best, parent = np.zeros(n, np.float32), np.full(n, -1)
+    tree = np.empty(n, int)
+    for _ in range(n):
+        i = int(np.argmax(np.where(left, best, -1)))
+        left[i] = False
+        tree[i] = tree[parent[i]] if best[i] else i
+        if best[i]:
+            pairs.add((min(i, int(parent[i])), max(i, int(parent[i]))))
+        closer = left & (alike[i] > best)
+        best[closer], parent[closer] = alike[i][closer], i
+    degree = np.bincount(np.array(list(pairs), int).reshape(-1), minlength=n)
+    leaders: list[int] = []
+    for root in np.unique(tree):
+        rows = np.flatnonzero(tree == root)
+        leaders += rows[np.argsort(-degree[rows], kind="stable")[:LEADERS]].tolist()
+    return sorted(pairs), leaders
+
+
+def _samples(members: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Nodes, sample codes and list ends of a column of member lists."""
+    inner = members.flatten()
+    nodes = inner.field("node").to_pylist()
+    table = np.frombuffer(b"".join(inner.field("codes").to_pylist()), np.uint32).reshape(len(nodes), BANDS * ROWS)
+    return nodes, table, np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def _compared(groups: DataFrame) -> DataFrame:
-    """Pairs (``leader`` false) and leaders (true) of every ``band, key, members`` line."""
+    """Pairs (``leader`` false) and, of cut buckets, leaders (true) of every ``band, key, many, members`` line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes, table, ends = _samples(batch.column("members"))
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                nodes = [m["node"] for m in row["members"]]
-                codes = [m["codes"] for m in row["members"]]
-                pairs, leaders = candidates_of(nodes, codes)
-                out += [(False, 0, 0, min(a, b), max(a, b)) for a, b in pairs]
-                if row["many"]:
-                    out += [(True, row["band"], row["key"], nodes[i], codes[i]) for i in leaders]
+            columns = (batch.column(c).to_pylist() for c in ("band", "key", "many"))
+            for end, start, band, key, many in zip(ends, np.concatenate(([0], ends[:-1])), *columns):
+                pairs, leaders = candidates_of(table[start:end])
+                own = nodes[start:end]
+                out += [(False, 0, 0, min(own[i], own[j]), max(own[i], own[j])) for i, j in pairs]
+                if many:
+                    out += [(True, band, key, own[i], table[start + i].tobytes()) for i in leaders]
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["leader", "band", "key", "a", "b"]
             )
 
-    return groups.mapInArrow(run, "leader boolean, band int, key bigint, a binary, b binary")
+    schema = "leader boolean, band int, key bigint, a binary, b binary"
+    return groups.select("band", "key", "many", "members").mapInArrow(run, schema)
+
+
+def _crossed(meetings: DataFrame) -> DataFrame:
+    """Pairs of every member with the ``NEAREST`` most similar of the ``leaders`` in its line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, table, ends = _samples(batch.column("members"))
+            heads, codes, stops = _samples(batch.column("leaders"))
+            pairs: set[tuple[bytes, bytes]] = set()
+            at = stop_before = 0
+            for end, stop in zip(ends, stops):
+                there = codes[stop_before:stop]
+                for i in range(at, end):
+                    alike = (there == table[i]).mean(axis=1)
+                    for j in np.argsort(-alike, kind="stable")[: NEAREST + 1]:
+                        a, b = nodes[i], heads[stop_before + j]
+                        if alike[j] >= LIKELY and a != b:
+                            pairs.add((min(a, b), max(a, b)))
+                at, stop_before = end, stop
+            columns = list(zip(*sorted(pairs))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["a", "b"])
+
+    return meetings.select("members", "leaders").mapInArrow(run, "a binary, b binary")
 
 
 def candidate_pairs(sketches: DataFrame) -> DataFrame:
     """Distinct pairs ``a < b`` of nodes whose samples look similar in some shared bucket.
 
     ``sketches`` has one line per node. Buckets of one text vanish before any
-    samples move. A bucket above ``CHUNK`` texts is cut by a hash; the leaders of
-    its chunks are compared again, all blocks against all blocks.
+    samples move. A bucket above ``CHUNK`` texts is cut by a hash, and all its
+    texts meet the leaders of all its chunks, a block of leaders at a time.
     """
     rows = sketches.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = F.struct("node", "codes")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    salted = (
-        sketches.select("node", "codes", F.posexplode("bands").alias("band", "key"))
-        .join(sizes, ["band", "key"])
-        .withColumn("many", F.col("n") > CHUNK)
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
+    # the codes join only the rows of shared buckets
+    shared = rows.join(sizes, ["band", "key"]).select(
+        "node",
+        "band",
+        "key",
+        (F.col("n") > CHUNK).alias("many"),
+        F.pmod(F.xxhash64("node"), chunks).alias("chunk"),
     )
-    groups = salted.groupBy("band", "key", "many", "chunk").agg(F.collect_list(member).alias("members"))
-    first = written(_compared(groups), "candidates")
+    salted = shared.join(sketches.select("node", "codes"), "node")
+    listed = lambda frame, *more: frame.groupBy("band", "key", *more).agg(F.collect_list(member).alias("members"))
+    first = written(_compared(listed(salted, "many", "chunk")), "candidates")
     pairs = first.filter("not leader").select("a", "b")
     leaders = first.filter("leader").select("band", "key", F.col("a").alias("node"), F.col("b").alias("codes"))
-    counts = leaders.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    blocks = leaders.join(counts, ["band", "key"]).withColumn(
-        "pair", F.explode(F.transform(other, lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"))))
-    )
-    again = blocks.groupBy("band", "key", "pair").agg(F.collect_list(member).alias("members"))
-    second = _compared(again.select("band", "key", F.lit(False).alias("many"), "members"))
-    return pairs.unionByName(second.select("a", "b")).filter("a != b").distinct()
+    if leaders.isEmpty():
+        return pairs.distinct()
+    blocks = leaders.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / LEADER_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    heads = listed(leaders.join(blocks, ["band", "key"]).select("*", block), "block").withColumnRenamed("members", "leaders")
+    cut = listed(salted.filter("many"), "chunk")
+    return pairs.unionByName(_crossed(cut.join(heads, ["band", "key"]))).distinct()
 
 
 def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: float = SIMILAR) -> DataFrame:
@@ -370,6 +422,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     weights = feature_weights(table)
     sketches = written(sketched(table, weights).dropDuplicates(["node"]), "sketches")
     pairs = written(candidate_pairs(sketches), "pairs")
+    delete_written(sketches)
     links = written(verified(pairs, table, weights), "links")
     labels = written(components(links.select("u", "v")), "labels")
     ends = links.select(F.explode(F.array("u", "v")).alias("node"))
