@@ -49,9 +49,17 @@ def test_base_spans_equal_python(spark, odd_docs):
 
 
 def test_markov_adds_random_strings_only(spark, odd_docs):
+    prose = (
+        "ordinary words often become longer national organization international relations "
+        "quick brown foxes jumped beyond seventeen lazy dogs while watching previous exhibitions "
+    )
+    plain = spark.createDataFrame([(1000 + i, prose * 20) for i in range(20)], "doc_id long, text string")
     docs = docs_of(spark, odd_docs)
-    hits = secrets.scanned(docs, secrets.train(docs)).select(F.explode("secrets.markov.hit").alias("hit")).collect()
-    assert [h.hit for h in hits] == ["Zx9Qf83LmPa0TyVb7KcN2sWdEr5"]
+    model = secrets.train(docs.unionByName(plain))
+    rows = secrets.scanned(docs, model).select(F.explode("secrets.markov.hit").alias("hit")).collect()
+    hits = {r.hit for r in rows}
+    assert "Zx9Qf83LmPa0TyVb7KcN2sWdEr5" in hits
+    assert not hits & {"ordinarywordsoftenlonger", "internationalization"}
 
 
 def test_redaction_masks_every_span(spark, odd_docs, no_docs):
