@@ -87,9 +87,9 @@ def _repeated_words(words: list[bytes]) -> int:
 
 def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: is it a letter, is it an upper-case letter."""
-    every = [chr(i) for i in range(0x110000)]
-    letters = np.fromiter(map(str.isalpha, every), bool, len(every))
-    upper = np.fromiter(map(str.isupper, every), bool, len(every))
+    points = 0x110000
+    letters = np.fromiter((chr(i).isalpha() for i in range(points)), bool, points)
+    upper = np.fromiter((chr(i).isupper() for i in range(points)), bool, points)
     return letters, upper
 
 
