@@ -22,7 +22,7 @@ from .common import ranked, text_or_empty, written
 
 WINDOW = 4096
 END_ID = 2
-CHUNK_CACHE = 500_000
+CHUNK_CACHE = 300_000
 ENCODE_ROWS = 200  # texts whose new chunks are looked up together
 # Spaces of str.split that the tokenizer does not treat as white space.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
