@@ -73,6 +73,30 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert all(r.class_size == sizes[r.class_id] for r in found.values())
 
 
+def test_links_outside_the_capped_pass_are_found(spark, monkeypatch):
+    # as in a bucket far above CHUNK: the one true partner is neither near by samples nor a leader
+    monkeypatch.setattr(neardup, "CHUNK", 6)
+    monkeypatch.setattr(neardup, "NEAREST", 1)
+    monkeypatch.setattr(neardup, "LEADERS", 1)
+    monkeypatch.setattr(neardup, "REST_BLOCK", 7)
+    base = words(200, 1)
+    rows = [(i, edited(base, 3 + i % 4, i)) for i in range(60)]  # similarities from 0.6 to 0.9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    table = neardup.shingled(docs)
+    weights = neardup.feature_weights(table)
+    node = {r.doc_id: r.node for r in table.collect()}
+    bands = {r.node: r.bands for r in neardup.sketched(table, weights).collect()}
+    links = [
+        (a, b)
+        for k, (a, x) in enumerate(rows)
+        for b, y in rows[:k]
+        if any(p == q for p, q in zip(bands[node[a]], bands[node[b]]))
+        and brute_similarity(x, y, weights) >= neardup.SIMILAR
+    ]
+    assert found == classes(links, [i for i, _ in rows])
+
+
 def test_odd_documents(odd_docs, no_docs):
     found = neardup.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

@@ -13,6 +13,8 @@
    buckets are cut into chunks, and every text meets the leaders of the others.
 5. Candidate pairs are verified by the weighted Jaccard similarity of the whole
    shingle sets (TF-IDF or unit weights), and links are joined into classes.
+6. Texts of one bucket that are still in different classes are all compared by
+   their whole shingle sets, so no link between texts that share a bucket is missed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ LIKELY = 0.6  # sampled similarity from which a pair is verified: over three dev
 NEAREST = 8  # partners that each text is paired with in any case
 LEADERS = 8  # texts of a group that meet the other chunks of their bucket
 LEADER_BLOCK = 4_000
+REST_BLOCK = 250  # texts of a bucket of several classes compared exactly in one piece, and their bytes
+REST_BYTES = 2 << 20
 SEED = 20_11
 WORD_CACHE = 200_000
 ELEMENTS = 1 << 16  # shingles sketched at a time
@@ -375,11 +379,9 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
     return pairs.unionByName(_crossed(cut.join(heads, ["band", "key"]))).distinct()
 
 
-def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: float = SIMILAR) -> DataFrame:
-    """``u, v, similarity`` of the pairs whose whole shingle sets are similar enough."""
-    nodes = written(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes"
-    )
+def _sets(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, shingles`` of the distinct ``nodes``, one row each."""
+    nodes = written(nodes, "nodes")
     # one row per node: the copies of a text share its node, so the smallest id stands for them
     picked = (
         table.select("node", "doc_id")
@@ -390,7 +392,13 @@ def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: f
     picked = written(picked, "picked")
     same = table["doc_id"].eqNullSafe(picked["doc_id"])
     sets = table.join(small_side(picked), (table["node"] == picked["node"]) & same, "left_semi")
-    sets = sets.select("node", "shingles").dropDuplicates(["node"])
+    return sets.select("node", "shingles").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """``u, v, similarity`` of the pairs whose whole shingle sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(table, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,6 +418,117 @@ def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: f
     )
 
 
+def _links_between(
+    sets: list[tuple[np.ndarray, np.ndarray]],
+    labels: list[bytes],
+    bands: np.ndarray,
+    band: int,
+    left: list[int],
+    right: list[int],
+    similar: float,
+) -> Iterator[tuple[int, int, float]]:
+    """Links between ``left`` and ``right`` rows of different classes, until they are in one.
+
+    A pair is compared in the first bucket it shares. The only pairs passed over
+    without a comparison are those whose sizes alone keep both similarities under
+    ``similar``, and those that links found here have joined already.
+    """
+    count = np.array([len(k) for k, _ in sets])
+    mass = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    ids = np.split(np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True)[1], np.cumsum(count)[:-1])
+    shares = np.zeros(max(int(i[-1]) for i in ids) + 1, np.float32)
+    numbers = {label: n for n, label in enumerate(dict.fromkeys(labels))}
+    joined = np.array([numbers[label] for label in labels])
+    others = np.array(right)
+    floor = similar - 1e-6  # sums in another order may differ in their last digits
+    for i in left:
+        low, high = np.minimum(count[i], count[others]), np.maximum(count[i], count[others])
+        near = low >= floor * high
+        near |= np.minimum(mass[i], mass[others]) >= floor * np.maximum(mass[i], mass[others])
+        near &= joined[others] != joined[i]
+        near &= (bands[others] == bands[i]).argmax(axis=1) == band
+        if not near.any():
+            continue
+        shares[ids[i]] = sets[i][1]
+        for j in others[near].tolist():
+            if joined[i] == joined[j]:
+                continue
+            there = shares[ids[j]]
+            low = float(np.minimum(there, sets[j][1]).sum(dtype=np.float64))
+            both = int(np.count_nonzero(there))
+            found = max(low / (mass[i] + mass[j] - low), both / (count[i] + count[j] - both))
+            if found >= similar:
+                joined[joined == joined[j]] = joined[i]
+                yield i, j, float(found)
+        shares[ids[i]] = 0
+
+
+def missed_links(
+    sketches: DataFrame, table: DataFrame, labels: DataFrame, weights: np.ndarray, similar: float = SIMILAR
+) -> DataFrame:
+    """``u, v, similarity`` of links between texts that share a bucket but not a class of ``labels``.
+
+    Whole shingle sets are compared, whatever the samples say. In a bucket of
+    several classes the texts of its largest class meet all others, and the
+    others meet each other, a block by a block; texts of one class do not meet.
+    """
+    named = sketches.select("node", "bands").join(labels, "node", "left")
+    rows = named.select("node", F.coalesce("label", "node").alias("label"), F.posexplode("bands").alias("band", "key"))
+    parts = rows.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = parts.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("main")
+    )
+    mixed = buckets.filter("classes > 1").drop("classes")
+    shared = rows.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("main"))
+    shared = written(shared.select("node", "label", "band", "key", "main"), "shared")
+    sets = _sets(table, shared.select("node").distinct()).join(sketches.select("node", "bands"), "node")
+    sets = written(sets, "sets")
+    sized = shared.join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    cuts = lambda of: F.ceil(
+        F.greatest(F.count_if(of) / REST_BLOCK, F.sum(F.when(of, F.col("size")).otherwise(0)) / REST_BYTES)
+    ).cast("int")
+    blocks = sized.groupBy("band", "key").agg(cuts(F.col("main")).alias("heads"), cuts(~F.col("main")).alias("rest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("heads")).otherwise(F.col("rest"))).cast("int")
+    placed = shared.join(blocks, ["band", "key"]).withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda heads, i, j: F.struct(F.lit(heads).alias("heads"), i.alias("i"), j.alias("j"))
+    me = F.col("own")
+    with_heads = F.transform(upto(F.col("heads")), lambda i: cell(True, i, me))
+    with_rest = F.transform(upto(F.col("rest")), lambda j: cell(False, F.least(me, j), F.greatest(me, j)))
+    cells = F.when(F.col("main"), F.transform(upto(F.col("rest")), lambda j: cell(True, me, j))).otherwise(
+        F.concat(with_heads, with_rest)
+    )
+    dealt = placed.select("node", "label", "band", "key", "main", "own", F.explode(cells).alias("cell")).join(sets, "node")
+    member = F.struct("node", "label", "main", "own", "bands", "shingles")
+    lists = dealt.groupBy("band", "key", "cell").agg(F.collect_list(member).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for at, (band, cell) in enumerate(zip(batch.column("band").to_pylist(), batch.column("cell").to_pylist())):
+                members = sorted(batch.column("members")[at].as_py(), key=lambda m: m["node"])
+                bands = np.array([m["bands"] for m in members], np.int64)
+                found = [weighted(np.frombuffer(m["shingles"], np.uint32), weights) for m in members]
+                if cell["heads"]:
+                    left = [k for k, m in enumerate(members) if not m["main"]]
+                    right = [k for k, m in enumerate(members) if m["main"]]
+                else:
+                    left = [k for k, m in enumerate(members) if m["own"] == cell["i"]]
+                    right = [k for k, m in enumerate(members) if m["own"] == cell["j"]]
+                if left and right:
+                    names = [m["label"] for m in members]
+                    for i, j, s in _links_between(found, names, bands, band, left, right, similar):
+                        a, b = members[i]["node"], members[j]["node"]
+                        out.append((min(a, b), max(a, b), s))
+            columns = list(zip(*out)) or [()] * 3
+            kinds = [pa.binary(), pa.binary(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["u", "v", "similarity"]
+            )
+
+    return lists.mapInArrow(run, "u binary, v binary, similarity double")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size, n_links`` for every row of ``docs``.
 
@@ -422,9 +541,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     weights = feature_weights(table)
     sketches = written(sketched(table, weights).dropDuplicates(["node"]), "sketches")
     pairs = written(candidate_pairs(sketches), "pairs")
-    delete_written(sketches)
     links = written(verified(pairs, table, weights), "links")
     labels = written(components(links.select("u", "v")), "labels")
+    # every class is a star now, so the links of the second pass join classes in few rounds
+    missed = written(missed_links(sketches, table, labels, weights), "missed")
+    delete_written(sketches)
+    if not missed.isEmpty():
+        stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        labels = written(components(stars.unionByName(missed.select("u", "v"))), "labels")
+        links = links.unionByName(missed)
     ends = links.select(F.explode(F.array("u", "v")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = table.select("doc_id", "node").join(labels.join(degree, "node", "left"), "node", "left")
