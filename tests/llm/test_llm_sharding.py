@@ -31,6 +31,19 @@ def test_balance_slots_and_groups(spark):
     assert len(homes["the hot text " * 20]) > 1  # a group of a third of all rows is split
 
 
+def test_groups_that_fit_stay_together(spark):
+    texts = [words(20 + i % 40, i) for i in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(40)] + [(2000 + i, texts[50]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bytes_, homes = defaultdict(int), defaultdict(set)
+    by_text = dict(rows)
+    for r in sharding.sharded(docs, shards=6).collect():
+        bytes_[r.shard] += r["size"]
+        homes[by_text[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in homes.values())  # pairs, and a group of half a shard
+    assert max(bytes_.values()) <= 1.05 * min(bytes_.values())
+
+
 def test_place_uses_all_measures():
     found = sharding.place(np.array([[10.0, 0, 1], [10, 0, 1], [0, 10, 1], [0, 10, 1]]), 2)
     assert found[0] != found[1] and found[2] != found[3]

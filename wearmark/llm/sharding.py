@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Groups of equal texts stay together as long as they are small against a shard.
+Groups of equal texts stay together unless they fill a shard by themselves.
 What is placed one by one on the driver has a fixed bound: groups that hold at
-least a ``1 / (shards * FINE)`` part of some measure, cut into pieces of that
-part, and bundles of all smaller groups by a hash of their text. Each goes to
+least a ``1 / (shards * FINE)`` part of some measure, those over ``WHOLE`` of a
+shard's capacity cut into pieces of that part, and bundles of all smaller
+groups by a hash of their text. Each goes to
 the shard where the dot product of its vector with the residual capacity is
 highest among those with room.
 """
@@ -17,6 +18,7 @@ from .common import n_words, ranked, small_side, written
 
 SHARDS = 24
 FINE = 64  # pieces of a shard's capacity: a piece is small against a shard
+WHOLE = 0.9  # part of a shard's capacity up to which a group is placed as one unit
 BUNDLES = 128  # bundles of small groups per shard
 MEASURES = ("size", "tokens", "rows")
 
@@ -65,7 +67,8 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     totals = groups.agg(*[F.sum(m).alias(m) for m in MEASURES]).first()
     part = F.greatest(*[F.col(m) * F.lit(shards * FINE / max(float(totals[m] or 0), 1.0)) for m in MEASURES])
     # at most len(MEASURES) * shards * FINE groups can hold such a part
-    large = written(groups.withColumn("cuts", F.ceil(part).cast("int")).filter(part >= 1), "large")
+    cuts = F.when(part > WHOLE * FINE, F.ceil(part)).otherwise(1).cast("int")
+    large = written(groups.withColumn("cuts", cuts).filter(part >= 1), "large")
     large_side = small_side(large.select("group", "cuts"))
     bundle = F.pmod(F.xxhash64("group"), F.lit(shards * BUNDLES)).cast("int")
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.col("cuts")).cast("int")
