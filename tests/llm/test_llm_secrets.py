@@ -73,6 +73,15 @@ def test_redaction_masks_every_span(spark, odd_docs, no_docs):
     assert secrets.redacted(no_docs).count() == 0
 
 
+def test_random_token_around_a_hex_run_is_masked_whole(spark):
+    token = "Zx9Qf83LmPa0TyVK0123456789abcdef017KcN2sWdEr5QpLz"
+    prose = "ordinary words often become longer national organization international relations quick foxes " * 20
+    rows = [(1, f"key {token} after")] + [(2 + i, prose) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert base(token) != ""  # the hexadecimal run alone is a base span
+    assert secrets.redacted(docs).filter("doc_id = 1").first().text == "key <secret> after"
+
+
 def test_query_digest(spark):
     row = queries.QUERIES["op2_secret_scan"](spark, "/root/testdata/sf0.001").filter("n_hex > 0").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.col("doc_id") == row.doc_id).first().text

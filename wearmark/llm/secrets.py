@@ -167,8 +167,8 @@ def scanned(docs: DataFrame, model: list[float], text: str = "text", out: str =
     """``docs`` with ``out``: struct of arrays ``base`` and ``markov`` (start, ord, kind, end, hit).
 
     Positions count code points, the end is exclusive. A null text counts as
-    empty and has no spans. Spans of the models that touch a base span are left
-    out, base spans always stay. Repeated rows get equal spans; an input column
+    empty and has no spans. Spans of the models that lie inside a base span are
+    left out, base spans always stay. Repeated rows get equal spans; an input column
     named ``out`` is replaced.
     """
     kept = [c for c in docs.columns if c != out]
@@ -181,10 +181,10 @@ def scanned(docs: DataFrame, model: list[float], text: str = "text", out: str =
         ratio = log_ratio(s["hit"], model)
         return ratio >= F.greatest(F.lit(MIN_RATIO), F.length(s["hit"]) * MIN_RATE)
 
-    def apart(s: Column) -> Column:
-        return ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    def outside(s: Column) -> Column:
+        return ~F.exists("__base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
 
-    extra = F.filter(F.filter("__token", apart), random_like)
+    extra = F.filter(F.filter("__token", outside), random_like)
     return found.withColumn(out, F.struct(F.col("__base").alias("base"), extra.alias("markov"))).drop(
         "__text", "__base", "__token"
     )
