@@ -52,7 +52,3 @@ def noisy(spark, noisy_frame):
 def gapped_frame(noisy_frame):
     """The same histories with every third cycle missing."""
     return noisy_frame[noisy_frame["cycle"] % 3 != 2].reset_index(drop=True)
-
-
-def collect(df, *order):
-    return df.toPandas().sort_values(list(order)).reset_index(drop=True)

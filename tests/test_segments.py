@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collect
+from frames import collect
 from wearmark.operators import segments
 from wearmark.sources.fleets import events_fleet, supplier_fleet
 

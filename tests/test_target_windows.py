@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collect
+from frames import collect
 from wearmark.operators import profile, target, windows
 
 
