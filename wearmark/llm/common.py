@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -44,6 +46,23 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def worker_state(name: str, make: Callable[[], object]):
+    """What the tasks of one reused Python worker share under ``name``; made by ``make`` when first asked for.
+
+    Functions travel to workers by value, so their modules hold nothing from
+    task to task; a module of our own in the worker does.
+    """
+    held = vars(sys.modules.setdefault("_corpus_worker", types.ModuleType("_corpus_worker")))
+    return held[name] if name in held else held.setdefault(name, make())
+
+
+def byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable Latin-1 as itself, others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import ranked, text_or_empty, written
+from .common import byte_letters, ranked, text_or_empty, worker_state, written
 
 WINDOW = 4096
 END_ID = 2
@@ -29,13 +30,6 @@ _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PIECE = "doc_id {kind}, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-def _byte_letters() -> list[str]:
-    """The letter by which a byte-level vocabulary writes each byte: printable Latin-1 as itself, others from 256 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
-
-
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit bytes, with a cache of white-space chunks.
 
@@ -50,7 +44,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
         self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
 
@@ -115,10 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
-
         # the cache outlives a task when Spark reuses the worker
-        encoders = tokenizers.__dict__.setdefault("_chunk_encoders", {})
+        encoders = worker_state("chunk_encoders", dict)
         encode = encoders.get(tokenizer) or encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for batch in batches:
             at, starts, lengths, sums, totals = [], [], [], [], []
@@ -210,6 +202,11 @@ def places(found: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {length: tuple(np.array(c, np.int64) for c in zip(*rows)) for length, rows in lines.items()}
 
 
+def histogram_of(cut: DataFrame) -> dict[int, int]:
+    """How many pieces there are of each length; at most one line per token of a window."""
+    return {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+
+
 def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """The pieces with ``sequence_id, offset``: where each starts in its window.
 
@@ -217,10 +214,13 @@ def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     length are broken by document and start, so reruns agree; equal rows are
     interchangeable. No pieces give an empty table.
     """
-    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    table = places(patterns(histogram, window))
+    return placed(cut, patterns(histogram_of(cut), window))
+
+
+def placed(cut: DataFrame, found: list[tuple[dict[int, int], int]]) -> DataFrame:
+    """The pieces of a written table laid into the windows ``found``, which hold exactly their histogram."""
+    table = places(found)
     numbered = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], ["doc_id", "start"], "_rank")
-    kind = cut.schema["doc_id"].dataType.simpleString()
     names = cut.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
                 [*held, pa.array(sequences), pa.array(offsets)], names=[*names, "sequence_id", "offset"]
             )
 
-    schema = PIECE.format(kind=kind) + ", sequence_id long, offset long"
+    schema = StructType([*cut.schema, *StructType.fromDDL("sequence_id long, offset long")])
     return numbered.select(*names, "_rank").mapInArrow(run, schema)
 
 

@@ -8,7 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, packing, permindex, pseudonyms, quality, secrets, sharding, toxicity, urlfilter
+from . import (
+    alignment,
+    mixing,
+    neardup,
+    packing,
+    patternpack,
+    permindex,
+    pseudonyms,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+    urlfilter,
+    whitening,
+)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +136,28 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by keyed pseudonyms."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(docs, DEMO_KEY)
+
+
+@query
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens, cut only where it is longer."""
+    docs = read(spark, sf_dir, "documents")
+    found = patternpack.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("length", F.col("length").cast("long"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers meet in every document."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.aligned(read(spark, sf_dir, "documents"), *paths, digest=True)
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query
+def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading whitened components."""
+    found = whitening.whitened(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
