@@ -52,6 +52,20 @@ def test_dense_features(noisy, noisy_frame, w, size):
     check(got.toPandas(), brute(noisy_frame, w))
 
 
+@pytest.mark.parametrize("w", [2, 10, 37, 150])
+@pytest.mark.parametrize("size", [8, 37])
+def test_windows_of_two_blocks(noisy, noisy_frame, w, size):
+    """Windows that end on, before and after the borders of blocks and segments."""
+    got = features.dense_features(noisy, COLS, w, gapless=True, segment_rows=size)
+    check(got.toPandas(), brute(noisy_frame, w))
+
+
+def test_windowed_plan_shuffles_once(noisy):
+    dense = features.dense_features(noisy, COLS, 30, gapless=True)
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+
+
 @pytest.mark.parametrize("w", [12, None])
 def test_dense_features_with_gaps(spark, gapped_frame, w):
     got = features.dense_features(spark.createDataFrame(gapped_frame), COLS, w, segment_rows=16)

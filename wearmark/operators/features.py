@@ -66,37 +66,65 @@ def _recent_means(out: dict, cols: Sequence[str], ordered, seen: Column, limit:
 
 
 def _dense_windowed(rows, cols, w, u, o, keep, segment_rows) -> DataFrame:
-    """Sliding frames; one shuffle by (unit, segment) and one sort serve all of them.
-
-    Moments are computed over the frame itself. Differences of running totals
-    would cost less for long windows but lose all digits when one value towers
-    over the rest of a segment.
+    """Sliding windows whose cost per row does not depend on ``w``.
+
+    Positions are cut into blocks of ``w``. A window is then the end of one
+    block and the beginning of the next: running facts of both directions are
+    kept within every block and merged per row, means, variances and slopes by
+    their centred moments. No fact ever holds a row outside the window, so
+    nothing is subtracted and no digits are lost beside an outlier. One shuffle
+    by (unit, segment) and two sorts serve everything.
     """
     spread, _ = with_halo(rows, "_pos", w, segment_rows)
-    ordered = segment_window(u, "_pos")
-    sliding = ordered.rowsBetween(-(w - 1), 0)
-
-    out: dict[str, Column] = {"_seen": F.least(F.col("_pos"), F.lit(w))}
+    # dealt by (unit, segment) at once: blocks lie inside, so no window shuffles again
+    spread = spread.withColumn("_block", F.floor((F.col("_pos") - 1) / w)).repartition(u, SEGMENT)
+    whole = Window.unboundedPreceding, 0
+    block = Window.partitionBy(u, SEGMENT, "_block")
+    ends = block.orderBy(F.desc("_pos")).rowsBetween(*whole)
+    starts = block.orderBy("_pos").rowsBetween(*whole)
+    # the same order as by position alone, and the same sort as within blocks
+    along = Window.partitionBy(u, SEGMENT).orderBy("_block", "_pos")
+
+    ending = spread.withColumns(_running(cols, ends, "e"))
+    starting = ending.withColumns(_running(cols, starts, "s"))
+    # a whole block needs no second part; nor does a unit's first block
+    split = (F.col("_pos") > w) & (F.col("_pos") % w != 0)
+    back = lambda c: F.lag(c, w - 1).over(along) if w > 1 else F.col(c)
+    part = lambda c: F.when(split, back(c))
+    out: dict[str, Column] = {"_seen": F.least(F.col("_pos"), F.lit(w)), "_n0": F.coalesce(part("_n_e"), F.lit(0))}
+    out["_t0"] = part("_t_e")
     for c in cols:
-        out[f"{c}_min"] = F.min(c).over(sliding)
-        out[f"{c}_max"] = F.max(c).over(sliding)
-        out[f"{c}_delta"] = F.col(c) - F.first(c).over(sliding)
-        out[f"_m_{c}"] = F.avg(c).over(sliding)
-        out[f"_v_{c}"] = F.var_pop(c).over(sliding)
-        out[f"_k_{c}"] = F.covar_pop("_pos", c).over(sliding)
-    _recent_means(out, cols, ordered, out["_seen"], w)
-    framed = drop_halo(spread.withColumns(out))
+        oldest = F.when(F.col("_pos") >= w, back(c)).otherwise(F.first(c).over(along.rowsBetween(*whole)))
+        out[f"{c}_delta"] = F.col(c) - oldest
+        out.update({f"_{k}0_{c}": part(f"_{k}_e_{c}") for k in ("m", "v", "k", "lo", "hi")})
+    _recent_means(out, cols, along, out["_seen"], w)
+    framed = drop_halo(starting.withColumns(out))
 
+    n0, n1 = F.col("_n0").cast("double"), F.col("_n_s").cast("double")
+    n = n0 + n1
+    alone = F.col("_n0") == 0
     final: list[Column] = []
     for c in cols:
-        flat = F.col(f"{c}_min") == F.col(f"{c}_max")
+        m0, m1 = F.col(f"_m0_{c}"), F.col(f"_m_s_{c}")
+        low = F.least(f"_lo0_{c}", f"_lo_s_{c}")
+        high = F.greatest(f"_hi0_{c}", f"_hi_s_{c}")
+        cross = n0 * n1 / n / n
+        mean = F.when(alone, m1).otherwise(m1 + (m0 - m1) * (n0 / n))
+        var = F.when(alone, F.col(f"_v_s_{c}")).otherwise(
+            (n0 * F.col(f"_v0_{c}") + n1 * F.col(f"_v_s_{c}")) / n + cross * (m1 - m0) * (m1 - m0)
+        )
+        cov = F.when(alone, F.col(f"_k_s_{c}")).otherwise(
+            (n0 * F.col(f"_k0_{c}") + n1 * F.col(f"_k_s_{c}")) / n
+            + cross * (m1 - m0) * (F.col("_t_s") - F.col("_t0"))
+        )
+        flat = low == high
         final += [
             F.col(c).alias(f"{c}_latest"),
-            F.when(flat, F.col(c)).otherwise(F.col(f"_m_{c}")).alias(f"{c}_mean"),
-            F.when(flat, F.lit(0.0)).otherwise(F.sqrt(f"_v_{c}")).alias(f"{c}_std"),
-            F.col(f"{c}_min"),
-            F.col(f"{c}_max"),
-            F.when(flat, F.lit(0.0)).otherwise(F.col(f"_k_{c}") / _time_variance(F.col("_seen"))).alias(f"{c}_slope"),
+            F.when(flat, F.col(c)).otherwise(mean).alias(f"{c}_mean"),
+            F.when(flat, F.lit(0.0)).otherwise(F.sqrt(var)).alias(f"{c}_std"),
+            low.alias(f"{c}_min"),
+            high.alias(f"{c}_max"),
+            F.when(flat, F.lit(0.0)).otherwise(cov / _time_variance(F.col("_seen"))).alias(f"{c}_slope"),
             F.col(f"{c}_delta"),
             *[F.col(f"{c}_last{k}_mean") for k in RECENT],
         ]
@@ -110,6 +138,22 @@ def _dense_windowed(rows, cols, w, u, o, keep, segment_rows) -> DataFrame:
     )
 
 
+def _running(cols: Sequence[str], over, side: str) -> dict[str, Column]:
+    """Facts of the rows of a block up to each row, in the order of ``over``."""
+    out = {f"_n_{side}": F.count(F.lit(1)).over(over), f"_t_{side}": F.avg("_pos").over(over)}
+    for c in cols:
+        out.update(
+            {
+                f"_m_{side}_{c}": F.avg(c).over(over),
+                f"_v_{side}_{c}": F.var_pop(c).over(over),
+                f"_k_{side}_{c}": F.covar_pop("_pos", c).over(over),
+                f"_lo_{side}_{c}": F.min(c).over(over),
+                f"_hi_{side}_{c}": F.max(c).over(over),
+            }
+        )
+    return out
+
+
 def _segment_facts(cols: Sequence[str]) -> list[Column]:
     """Mergeable facts of a run of rows."""
     facts = [
