@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wearmark.operators import regimes, scaling, splits
@@ -76,6 +78,41 @@ def test_regimes_depend_on_settings_only(regime_fleet):
     assert hot.filter(total != 1).isEmpty()
 
 
+def _ml_cost(df, k, seed):
+    points = VectorAssembler(inputCols=SETTINGS, outputCol="features").transform(df)
+    return KMeans(k=k, seed=seed).fit(points).summary.trainingCost
+
+
+def test_ten_starts_are_no_worse_than_ten_single_runs(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.uniform(0, 100, (9, 3))
+    # one place holds half of all rows, another a handful
+    picks = rng.choice(9, 4000, p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.02, 0.02, 0.0095, 0.0005])
+    rows = [tuple(float(v) for v in middles[p] + rng.normal(0, 1, 3)) for p in picks]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0)], "setting_1 double, setting_2 double, setting_3 double")
+    model = regimes.fit_regimes(df.repartition(6), SETTINGS, k=9, n_init=10)
+    singles = [_ml_cost(df.dropna(), 9, s) for s in range(10)]
+    assert model.cost == min(model.costs) and len(model.costs) == 10
+    assert model.cost <= min(singles) * (1 + 1e-6)
+    one = regimes.fit_regimes(df.repartition(6), SETTINGS, k=9, n_init=1)
+    assert model.passes < 10 * one.passes / 2  # ten starts do not take ten times the scans
+    labelled = regimes.assign_regime(df, model, SETTINGS)
+    assert labelled.filter("regime is null").count() == 1
+    table, names = np.array(rows), labelled.dropna().select("regime", *SETTINGS).toPandas()
+    gaps = ((names[SETTINGS].to_numpy()[:, None] - model.centers[None]) ** 2).sum(axis=2)
+    assert (gaps.argmin(axis=1) == names["regime"]).all() and gaps.min(axis=1).sum() == pytest.approx(model.cost)
+    assert len(table) == len(names)
+
+
+def test_fewer_places_than_regimes(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 50 + [(4.0, 5.0, 6.0)] * 3, "setting_1 double, setting_2 double, setting_3 double")
+    model = regimes.fit_regimes(df, SETTINGS, k=4)
+    assert model.cost == 0
+    assert regimes.assign_regime(df, model, SETTINGS).select("regime", *SETTINGS).distinct().count() == 2
+    with pytest.raises(ValueError):
+        regimes.fit_regimes(df.limit(0), SETTINGS)
+
+
 def test_regime_scaling_centres_each_regime(regime_fleet):
     pre = regimes.fit_variant(regime_fleet, "C", SENSORS, SETTINGS, k=6, n_init=2)
     rows = regimes.variant_matrix(regime_fleet, pre)

@@ -2,47 +2,176 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .scaling import apply_scaler, fit_scaler
 
 VARIANTS = ("A", "B", "C", "D")
+SEED_ROUNDS = 3  # of drawing candidates for centres
+OVERSAMPLE = 2  # candidates per round and wanted centre
+LLOYD_ROUNDS = 50
+MOVED = 1e-6  # centres that move less, in any start, are at rest
 
 
-def _with_vector(df: DataFrame, settings: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(settings), outputCol="_settings").transform(df)
+@dataclass
+class RegimeModel:
+    """Centres of the regimes, in ascending order, and the squared distance they leave."""
+
+    centers: np.ndarray
+    cost: float
+    costs: list[float]  # of every start
+    passes: int  # scans of the rows that the fit took
+
+    def regime(self, settings: Sequence[str]) -> Column:
+        """Nearest centre; the first of equally near ones. Null when a setting is."""
+        parts = []
+        for centre in self.centers:
+            gaps = [F.col(c).cast("double") - F.lit(float(v)) for c, v in zip(settings, centre)]
+            parts.append(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+        distances = F.array(*parts)
+        known = parts[0].isNotNull()
+        return F.when(known, (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
+
+
+def _distances(table: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, as differences so that near ones keep their digits."""
+    out = np.zeros((len(table), len(centres)))
+    for j in range(table.shape[1]):
+        out += (table[:, j, None] - centres[None, :, j]) ** 2
+    return out
+
+
+def _tables(batches: Iterator[pa.RecordBatch], names: Sequence[str], rows: int = 8192) -> Iterator[np.ndarray]:
+    for batch in batches:
+        table = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        table = table[np.isfinite(table).all(axis=1)]
+        for low in range(0, len(table), rows):
+            yield table[low : low + rows]
+
+
+def _step(points: DataFrame, names: list[str], starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per start: rows, sums of (row - centre) and cost of each centre's rows, all starts from one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(c), len(names) + 2)) for c in starts]
+        seen = False
+        for table in _tables(batches, names):
+            seen = True
+            for total, centres in zip(sums, starts):
+                apart = _distances(table, centres)
+                near = apart.argmin(axis=1)
+                total[:, 0] += np.bincount(near, minlength=len(centres))
+                total[:, 1] += np.bincount(near, apart[np.arange(len(near)), near], len(centres))
+                for j in range(len(names)):
+                    total[:, 2 + j] += np.bincount(near, table[:, j] - centres[near, j], len(centres))
+        if seen:
+            keys = [(s, c) for s, total in enumerate(sums) for c in range(len(total))]
+            flat = np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in keys], pa.int32()),
+                    pa.array([k[1] for k in keys], pa.int32()),
+                    *[pa.array(flat[:, j]) for j in range(flat.shape[1])],
+                ],
+                names=["start", "centre", *[f"v{j}" for j in range(flat.shape[1])]],
+            )
+
+    values = [f"v{j}" for j in range(len(names) + 2)]
+    found = points.mapInArrow(run, "start int, centre int, " + ", ".join(f"{v} double" for v in values))
+    # one line per start and centre comes back
+    lines = found.groupBy("start", "centre").agg(*[F.sum(v).alias(v) for v in values]).collect()
+    tables = [np.zeros((len(c), len(values))) for c in starts]
+    for r in lines:
+        tables[r["start"]][r["centre"]] = [r[v] for v in values]
+    return [(t[:, 0], t[:, 2:], float(t[:, 1].sum())) for t in tables]
+
+
+def _candidates(points: DataFrame, names: list[str], k: int, seed: int, n_init: int) -> tuple[list[np.ndarray], int]:
+    """Scalable seeding of all starts together: rows far from a start's candidates are likelier to become one."""
+    first = points.orderBy(F.rand(seed), *names).limit(n_init).collect()
+    if not first:
+        raise ValueError("no rows with known settings")
+    chosen = [np.array([list(first[i % len(first)])]) for i in range(n_init)]
+    passes = 1
+    for turn in range(SEED_ROUNDS):
+        costs = [found[2] for found in _step(points, names, chosen)]
+        passes += 2
+        wanted = OVERSAMPLE * k
+        held = chosen
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a task draws alike whenever it is run again
+            rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
+            for table in _tables(batches, names):
+                for s, (centres, cost) in enumerate(zip(held, costs)):
+                    far = _distances(table, centres).min(axis=1)
+                    taken = table[rng.random(len(table)) < wanted * far / max(cost, 1e-300)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s] * len(taken), pa.int32()), *[pa.array(taken[:, j]) for j in range(len(names))]],
+                        names=["start", *names],
+                    )
+
+        kind = "start int, " + ", ".join(f"`{c}` double" for c in names)
+        # about wanted rows per start: the shares add up to that
+        for r in points.mapInArrow(draw, kind).distinct().orderBy("start", *names).collect():
+            chosen[r["start"]] = np.vstack([chosen[r["start"]], [list(r)[1:]]])
+    return chosen, passes
+
+
+def _seeded(candidates: np.ndarray, weights: np.ndarray, k: int, rng) -> np.ndarray:
+    """``k`` of a start's weighted candidates, each likelier the farther it is from those chosen before."""
+    centres = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    while len(centres) < k:
+        pull = weights * _distances(candidates, np.array(centres)).min(axis=1)
+        if not pull.sum() > 0:
+            centres.append(centres[0])  # fewer different rows than centres
+        else:
+            centres.append(candidates[rng.choice(len(candidates), p=pull / pull.sum())])
+    return np.array(centres)
 
 
 def fit_regimes(
     df: DataFrame, settings: Sequence[str], k: int = 6, seed: int = 42, n_init: int = 10
-) -> KMeansModel:
-    """K-means on the settings only; the best of ``n_init`` seeds by training cost."""
-    points = _with_vector(df.select(*settings), settings).select("_settings")
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+) -> RegimeModel:
+    """K-means on the settings only; the best of ``n_init`` starts.
+
+    All starts are seeded and moved together: every scan assigns each row to the
+    nearest centre of each start and brings back one line per (start, centre),
+    so ten starts take the scans of one. Rows with an unknown setting are left
+    out. Regimes are numbered by ascending centre.
+    """
+    names = list(settings)
+    points = df.select(*[F.col(c).cast("double").alias(c) for c in names]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best = None
-        for trial in range(n_init):
-            model = KMeans(
-                k=k, seed=seed + trial, featuresCol="_settings", predictionCol="regime"
-            ).fit(points)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+        chosen, passes = _candidates(points.dropna(), names, k, seed, n_init)
+        weights = [found[0] for found in _step(points, names, chosen)]
+        rng = np.random.default_rng(seed)
+        starts = [_seeded(c, np.maximum(w, 1e-12), k, rng) for c, w in zip(chosen, weights)]
+        passes += 1
+        for _ in range(LLOYD_ROUNDS):
+            found = _step(points, names, starts)
+            passes += 1
+            steps = [sums / np.maximum(n, 1)[:, None] for n, sums, _ in found]
+            starts = [c + step for c, step in zip(starts, steps)]
+            if max(np.abs(step).max() for step in steps) < MOVED:
+                break
+        costs = [cost for _, _, cost in _step(points, names, starts)]
     finally:
         points.unpersist()
-    return best
+    best = starts[int(np.argmin(costs))]
+    best = best[np.lexsort(best.T[::-1])]
+    return RegimeModel(best, min(costs), costs, passes + 1)
 
 
-def assign_regime(df: DataFrame, model: KMeansModel, settings: Sequence[str]) -> DataFrame:
+def assign_regime(df: DataFrame, model: RegimeModel, settings: Sequence[str]) -> DataFrame:
     """Nearest regime per row; nothing is refitted."""
-    return model.transform(_with_vector(df, settings)).drop("_settings").withColumn(
-        "regime", F.col("regime").cast("int")
-    )
+    return df.withColumn("regime", model.regime(settings))
 
 
 def one_hot_regime(df: DataFrame, k: int, regime: str = "regime") -> DataFrame:
@@ -56,7 +185,7 @@ class Preprocessing:
     variant: str
     sensors: list[str]
     settings: list[str]
-    model: KMeansModel | None = None
+    model: RegimeModel | None = None
     sensor_params: DataFrame | None = None
     setting_params: DataFrame | None = None
     k: int = 0

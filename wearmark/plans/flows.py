@@ -7,14 +7,17 @@ shared folder, so grid points read them instead of recomputing the lineage.
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import checkpoints, evaluate, models, regimes, selection, splits
+from ..operators import boosting, checkpoints, evaluate, leastsquares, models, regimes, selection, splits
 from ..operators.features import dense_features, feature_names, features_at
 from ..operators.profile import lifetimes
 from ..operators.segments import ORDER, UNIT, attach_units
@@ -54,10 +57,17 @@ def _fit_two_stage(candidate: Candidate, fit_rows, stop_rows, all_rows, inputs):
     """Stage 1 finds the number of rounds on monitor units, stage 2 refits without them."""
     if candidate.model != "boosted" or stop_rows is None:
         return models.fit_model(candidate.model, all_rows, inputs, candidate.params), None
-    first = models.fit_model("boosted", fit_rows, inputs, candidate.params)
-    best = models.best_iteration(first, stop_rows)
+    best = boosting.boost(fit_rows, inputs, candidate.params, stop=stop_rows).best_iteration
     params = {**candidate.params, "maxIter": best + 1}
-    return models.fit_model("boosted", all_rows, inputs, params), best
+    return boosting.boost(all_rows, inputs, params).model, best
+
+
+# Models whose fits for all folds come from one scan of the rows.
+ONE_SCAN = ("mean", "linear")
+
+
+def _one_scan(candidate: Candidate) -> bool:
+    return candidate.model in ONE_SCAN and not candidate.params
 
 
 def nested_cv(
@@ -81,7 +91,8 @@ def nested_cv(
     is resumed by calling it once more with the same folder.
 
     With ``inner`` the stopping units come from inside each outer training set,
-    so the held-out fold influences nothing. Held-out units are scored at their
+    so the held-out fold influences nothing. Mean and least squares candidates
+    are fitted for all folds from one scan. Held-out units are scored at their
     checkpoints. Each unit carries its own fold and the folds where it is a
     stopping unit, so training sets are plain filters on one feature table.
     """
@@ -116,34 +127,49 @@ def nested_cv(
         )
         reach = w if predict_mode == "windowed" else None
         held = written(features_at(members, manifest, cols, reach, gapless=gapless), f"held_w{w}")
-        for candidate, f in ((c, f) for c, f in todo if c.window == w):
+        here = [(c, f) for c, f in todo if c.window == w]
+        plain = {c.id: c for c, _ in here if _one_scan(c)}
+        if plain:
+            started = time.perf_counter()
+            fits = written(leastsquares.fold_models(table, inputs), f"fold_models_w{w}")
+            spent = (time.perf_counter() - started) / (len(plain) * k)
+        for candidate in plain.values():
+            # all folds are scored and stored together
+            scored = leastsquares.predict_held_out(held, fits, inputs, candidate.model == "mean")
+            _scored(scored, candidate).write.mode("overwrite").parquet(f"{store}/predictions/{candidate.id}")
+            lines = [(candidate.id, f, candidate.model, w, candidate.text, None, len(inputs), spent) for c, f in here if c.id == candidate.id]
+            spark.createDataFrame(lines, CONTROL).write.mode("append").parquet(f"{store}/control")
+        for candidate, f in ((c, f) for c, f in here if not _one_scan(c)):
             started = time.perf_counter()
             train = table.filter(F.col("fold") != f)
             stopping = F.array_contains("stop_folds", f)
             stop_rows = train.filter(stopping) if inner else None
             model, best = _fit_two_stage(candidate, train.filter(~stopping), stop_rows, train, inputs)
             spent = time.perf_counter() - started
-            scored = models.predict(held.filter(F.col("fold") == f), model).select(
-                F.lit(candidate.id).alias("candidate_id"),
-                "fold",
-                UNIT,
-                "cutoff_cycle",
-                "true_raw_rul",
-                "fraction",
-                "prediction",
-            )
+            scored = _scored(models.predict(held.filter(F.col("fold") == f), model), candidate)
             # a pair that broke off before its control line is written over
             scored.write.mode("overwrite").parquet(f"{store}/predictions/{candidate.id}-{f}")
             line = (candidate.id, f, candidate.model, w, candidate.text, best, len(inputs), spent)
             spark.createDataFrame([line], CONTROL).write.mode("append").parquet(f"{store}/control")
-    predictions = spark.read.parquet(
-        *[f"{store}/predictions/{c.id}-{f}" for c in candidates for f in range(1, k + 1)]
-    )
+    parts = [[c.id] if _one_scan(c) else [f"{c.id}-{f}" for f in range(1, k + 1)] for c in candidates]
+    predictions = spark.read.parquet(*[f"{store}/predictions/{name}" for names in parts for name in names])
     control = _stored(spark, f"{store}/control", CONTROL)
     rows = evaluate.fold_rows(predictions).join(F.broadcast(control), ["candidate_id", "fold"])
     return rows, predictions
 
 
+def _scored(scored: DataFrame, candidate: Candidate) -> DataFrame:
+    return scored.select(
+        F.lit(candidate.id).alias("candidate_id"),
+        "fold",
+        UNIT,
+        "cutoff_cycle",
+        "true_raw_rul",
+        "fraction",
+        "prediction",
+    )
+
+
 def _stored(spark, path: str, schema: str) -> DataFrame:
     """A table that may not exist yet."""
     try:
@@ -201,14 +227,16 @@ def compare_variants(
             ),
             f"variant_{variant}",
         )
-        booster = models.fit_model("boosted", dense.filter(F.col("role") == "inner_fit"), inputs, params)
-        best = models.best_iteration(booster, dense.filter(F.col("role") == "inner_stop"))
+        stop_rows = dense.filter(F.col("role") == "inner_stop")
+        best = boosting.boost(
+            dense.filter(F.col("role") == "inner_fit"), inputs, params, stop=stop_rows
+        ).best_iteration
 
         final = regimes.fit_variant(train, variant, sensors, settings, k, n_init=n_init)
         rows = dense_features(
             regimes.variant_matrix(train, final), final.inputs, w, keep=["rul"], gapless=True
         )
-        model = models.fit_model("boosted", rows, inputs, {**(params or {}), "maxIter": best + 1})
+        model = boosting.boost(rows, inputs, {**(params or {}), "maxIter": best + 1}).model
         held_features = features_at(
             regimes.variant_matrix(held, final), manifest, final.inputs, w, gapless=True
         )
@@ -277,6 +305,146 @@ def run_benchmark(
     return spark.read.parquet(results_path)
 
 
+GRID = (
+    "model string, window int, overrides string, rmse double, mae double, r2 double, score_total double, "
+    "score_mean double, bias double, prediction_std double, n long, training_time double"
+)
+# Overrides that change the rows a learner sees; all others are parameters of the learner.
+TARGET_CAP = "cap"
+
+
+class GridFailure(Exception):
+    """Grid points that failed; every other point of the run is stored."""
+
+    def __init__(self, failed: dict[str, BaseException]):
+        super().__init__("; ".join(f"{name}: {error}" for name, error in sorted(failed.items())))
+        self.failed = failed
+
+
+class _Once:
+    """Values made once by whichever thread asks first; the others wait for it."""
+
+    def __init__(self) -> None:
+        self.lock, self.locks, self.values = threading.Lock(), {}, {}
+
+    def get(self, key, make: Callable):
+        with self.lock:
+            own = self.locks.setdefault(key, threading.Lock())
+        with own:
+            if key not in self.values:
+                self.values[key] = make()
+        return self.values[key]
+
+
+def run_grid(
+    df: DataFrame,
+    assignments: DataFrame,
+    cols: Sequence[str],
+    grid: Sequence[Candidate],
+    store: str,
+    parallel: int = 4,
+    fractions: Sequence[float] = checkpoints.LATE_FRACTIONS,
+) -> tuple[DataFrame, DataFrame]:
+    """Run an ablation grid, several points at once; returns results and predictions by ``experiment_id``.
+
+    Up to ``parallel`` points are fitted side by side from one driver, each in a
+    scheduler pool and job group of its own, so under the fair scheduler no long
+    fit starves the others. Feature tables are made once per window and target
+    cap. A point stores its predictions and then its result, under its id; what
+    the folder ``store`` already holds is not run again, so a run that broke off
+    is resumed by calling it once more. When points fail the others still end,
+    and ``GridFailure`` names the failed; when the caller is interrupted, running
+    points are cancelled.
+
+    The override ``cap`` bounds the training target (errors are always those of
+    the uncapped one); other overrides are parameters of the learner.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if len({c.id for c in grid}) != len(grid):
+        raise ValueError("experiment ids repeat")
+    results = f"{store}/results"
+    kind = f"{GRID}, experiment_id string"
+    done = {r[0] for r in _stored(spark, results, kind).select("experiment_id").distinct().collect()}
+    members = attach_units(df, assignments)
+    train = add_target(members.filter(F.col("role") == "train"))
+    held = members.filter(F.col("role") == "validation")
+    manifest = checkpoints.checkpoint_manifest(lifetimes(held), fractions)
+    inputs = feature_names(cols)
+    tables = _Once()
+    stopped = threading.Event()
+
+    def go_on() -> None:
+        if stopped.is_set():
+            raise InterruptedError("the grid was interrupted")
+
+    def capped(cap, w: int) -> DataFrame:
+        rows = train if cap is None else train.withColumn("rul", F.least("rul", F.lit(cap)))
+        return written(dense_features(rows, cols, w, keep=["rul"], gapless=True), f"grid_w{w}")
+
+    def run(point: Candidate) -> None:
+        sc.setLocalProperty("spark.scheduler.pool", f"grid-{point.id}")
+        sc.setJobGroup(f"{store}:{point.id}", f"grid point {point.id}", interruptOnCancel=True)
+        params = dict(point.params)
+        cap = params.pop(TARGET_CAP, None)
+        w = point.window
+        rows = tables.get(("train", w, cap), lambda: capped(cap, w))
+        ends = tables.get(
+            ("held", w), lambda: written(features_at(held, manifest, cols, w, gapless=True), f"grid_held_w{w}")
+        )
+        go_on()
+        started = time.perf_counter()
+        model = models.fit_model(point.model, rows, inputs, params)
+        spent = time.perf_counter() - started
+        go_on()
+        path = f"{store}/predictions/experiment_id={point.id}"
+        scored = models.predict(ends, model).select(
+            UNIT, "cutoff_cycle", "true_raw_rul", "fraction", F.col("prediction").cast("double").alias("prediction")
+        )
+        scored.write.mode("overwrite").parquet(path)
+        line = spark.read.schema(scored.schema).parquet(path).agg(
+            *evaluate.metric_columns("true_raw_rul", "prediction")
+        )
+        # the result comes last: a point without one is run again as a whole
+        line.select(
+            F.lit(point.model).alias("model"),
+            F.lit(w).alias("window"),
+            F.lit(point.text).alias("overrides"),
+            "*",
+            F.lit(spent).alias("training_time"),
+        ).write.mode("overwrite").parquet(f"{results}/experiment_id={point.id}")
+
+    todo = [c for c in grid if c.id not in done]
+    failed: dict[str, BaseException] = {}
+    with ThreadPoolExecutor(max(1, parallel), thread_name_prefix="grid") as pool:
+        running = {pool.submit(inheritable_thread_target(spark)(run), c): c for c in todo}
+        try:
+            for future in as_completed(running):
+                if error := future.exception():
+                    failed[running[future].id] = error
+        except BaseException:
+            stopped.set()
+            for future, point in running.items():
+                future.cancel()
+                sc.cancelJobGroup(f"{store}:{point.id}")
+            raise
+    if failed:
+        raise GridFailure(failed)
+    predictions = spark.read.parquet(f"{store}/predictions")
+    return _stored(spark, results, kind), predictions
+
+
+def grid_points(
+    windows: Sequence[int],
+    models_: Sequence[str],
+    overrides: Sequence[tuple[str, int, dict]] = (),
+    seed: int = 42,
+) -> list[Candidate]:
+    """Every model at every window, then the named overrides, under the ids of ``selection.ablation_grid``."""
+    runs = [(m, w, {}) for w in windows for m in models_] + list(overrides)
+    return [Candidate(selection.experiment_id(m, w, o, seed), m, w, o) for m, w, o in runs]
+
+
 def choose(rows: DataFrame, candidates: Sequence[Candidate], k: int) -> DataFrame:
     """Completeness gate, summary and selection rule in one step."""
     grid = rows.sparkSession.createDataFrame([(c.id,) for c in candidates], "candidate_id string")

@@ -51,3 +51,9 @@ def _local_folder() -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """Fresh path for one written table inside the shared folder."""
     return f"{shared_folder(spark)}/wearmark/{name}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
