@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wearmark.plans import catalogue
 from wearmark.operators import conformal, errors, evaluate, models, selection
 
 
@@ -110,15 +109,20 @@ def test_labels_and_counts(spark):
          ("lstm", "variant=w90_cnone_all loss=mse"), ("rf", "variant=w90_c125_none")],
         "model string, notes string",
     )
-    rules = [(holds.replace('"', "`"), label.replace('"', "`")) for holds, label in catalogue.FACTOR_RULES]
     runs = selection.parse_runs(df, "w30_c125_all")
-    got = {(r["model"], r["factor"]) for r in selection.label_runs(runs, rules).collect()}
+    baseline = {"window": "90", "cap": "125", "sensors": "all", "loss": "mse"}
+    got = {(r["model"], r["factor"], r["changed"]) for r in selection.label_changes(runs, baseline).collect()}
     assert got == {
-        ("gru", "composed A+B; B cap=45; C loss=huber; E architecture"),
-        ("xgboost", "D sensors=varying"),
-        ("rf", "A window=30"),
-        ("lstm", "B cap=none"),
+        ("gru", "cap=45; loss=huber", 2),
+        ("xgboost", "sensors=varying; loss=-", 2),
+        ("rf", "window=30; loss=-", 2),
+        ("lstm", "cap=none", 1),
+        ("rf", "sensors=none; loss=-", 2),
     }
+    same = selection.label_changes(runs, {"window": "90", "cap": "none", "sensors": "all", "loss": "mse"})
+    assert same.filter("model = 'lstm'").isEmpty()
+    odd = spark.createDataFrame([(None, 1), ("a", 2)], "cap string, k int")
+    assert [r["factor"] for r in selection.label_changes(odd, {"cap": "a"}).collect()] == ["cap=null"]
     p = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1)], "v string, k int")
     assert {r["v"]: r["passed"] for r in selection.check_prediction_counts(p, ["v"], ["k"], 2).collect()} == {"a": True, "b": False}
     best = spark.createDataFrame([("A", 5.0, 1.0, 0.0), ("B", 4.0, 9.0, 0.0), ("C", 4.0, 2.0, -3.0)], "variant string, score_per_unit double, rmse double, bias double")

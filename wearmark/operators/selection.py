@@ -153,14 +153,20 @@ def parse_runs(df: DataFrame, default: str, notes: str = "notes") -> DataFrame:
     )
 
 
-def label_runs(df: DataFrame, rules: Sequence[tuple[str, str]], out: str = "factor") -> DataFrame:
-    """Join the labels of all rules that hold for a row; rows without a label drop out.
+def label_changes(df: DataFrame, baseline: dict[str, str], out: str = "factor") -> DataFrame:
+    """Label each run by the attributes in which it differs from a baseline run.
 
-    A rule is a pair of SQL expressions over the columns of ``df``: when it
-    holds, and the label it then gives.
+    ``baseline`` names the attributes, in the order of the label, and the
+    baseline's values; null counts as a value. ``out`` joins ``attribute=value``
+    of the changed ones and ``changed`` counts them: one change is a controlled
+    ablation, several are a combined one. Runs equal to the baseline drop out.
     """
-    labels = F.array_compact(F.array(*[F.expr(f"CASE WHEN {holds} THEN {label} END") for holds, label in rules]))
-    return df.withColumn(out, F.array_join(labels, "; ")).filter(F.col(out) != "")
+    changes = [
+        F.when(~F.col(name).cast("string").eqNullSafe(F.lit(value)), F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("null"))))
+        for name, value in baseline.items()
+    ]
+    found = F.array_compact(F.array(*changes))
+    return df.withColumns({out: F.array_join(found, "; "), "changed": F.size(found)}).filter(F.col("changed") > 0)
 
 
 def check_prediction_counts(df: DataFrame, by: Sequence[str], keys: Sequence[str], expected: int) -> DataFrame:

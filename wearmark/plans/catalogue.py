@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import rounded, wall_micros
 from ..operators import (
+    boosting,
     checkpoints,
     conformal,
     errors,
     evaluate,
     features,
     fingerprint,
+    leastsquares,
     models,
     profile,
     quality,
@@ -388,7 +390,7 @@ def sensor_rul_corr(spark, sf):
          corr(sensor_1, sensor_2) AS c12, corr(sensor_1, sensor_3) AS c13, corr(sensor_2, sensor_3) AS c23 FROM evr
 ), top AS (
   SELECT s FROM (SELECT unnest(['sensor_1', 'sensor_2', 'sensor_3']) AS s, abs(unnest([r1, r2, r3])) AS r FROM c)
-  ORDER BY r DESC, s LIMIT 2
+  ORDER BY r DESC, s LIMIT 5
 ), pairs AS (
   SELECT unnest(['sensor_1', 'sensor_2', 'sensor_3', 'sensor_1', 'sensor_2', 'sensor_1', 'sensor_3', 'sensor_2', 'sensor_3']) AS a,
          unnest(['sensor_1', 'sensor_2', 'sensor_3', 'sensor_2', 'sensor_1', 'sensor_3', 'sensor_1', 'sensor_3', 'sensor_2']) AS b,
@@ -398,7 +400,7 @@ SELECT a, b, round(corr, 6) + 0.0 AS corr FROM pairs WHERE a IN (FROM top) AND b
 )
 def sensor_corr_matrix(spark, sf):
     rows = target.add_target(events_fleet(spark, sf))
-    return rounding(profile.top_corr_matrix(rows, COLS, k=2))
+    return rounding(profile.top_corr_matrix(rows, COLS, k=5))
 
 
 @query(
@@ -692,10 +694,10 @@ def scaler_params(spark, sf):
 
 
 @query(
-    """, p AS (SELECT avg(sensor_1) AS m1, stddev_pop(sensor_1) AS d1, avg(sensor_2) AS m2, stddev_pop(sensor_2) AS d2
-  FROM sup)
-SELECT unit_id, cycle, round((sensor_1 - m1) / d1, 6) + 0.0 AS sensor_1,
-  round((sensor_2 - m2) / d2, 6) + 0.0 AS sensor_2 FROM sup, p"""
+    """SELECT unit_id, cycle, round((sensor_1 - m1) / d1, 6) + 0.0 AS sensor_1,
+  round((sensor_2 - m2) / d2, 6) + 0.0 AS sensor_2
+FROM (SELECT *, avg(sensor_1) OVER () AS m1, stddev_pop(sensor_1) OVER () AS d1,
+        avg(sensor_2) OVER () AS m2, stddev_pop(sensor_2) OVER () AS d2 FROM sup)"""
 )
 def scaled_rows(spark, sf):
     fleet = supplier_fleet(spark, sf)
@@ -732,26 +734,32 @@ def regime_scaled_rows(spark, sf):
 
 @query()
 def kmeans_regimes(spark, sf):
+    """Ten starts, the regimes of the best one."""
     fleet = supplier_fleet(spark, sf)
-    model = regimes.fit_regimes(fleet, SETTINGS, k=6, n_init=2)
+    model = regimes.fit_regimes(fleet, SETTINGS, k=6)
     labelled = regimes.assign_regime(fleet, model, SETTINGS)
     return labelled.groupBy("regime").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("setting_1").alias("setting_1"), F.avg("setting_2").alias("setting_2")
     )
 
 
-@query()
-def variant_matrix_d(spark, sf):
-    fleet = supplier_fleet(spark, sf)
-    pre = regimes.fit_variant(fleet, "D", ALL_SENSORS, SETTINGS, k=6, n_init=1)
-    return regimes.variant_matrix(fleet, pre).select("unit_id", "cycle", *pre.inputs)
+@query(
+    """SELECT unit_id, cycle, round((sensor_1 - m1) / d1, 6) + 0.0 AS sensor_1,
+  round((sensor_2 - m2) / d2, 6) + 0.0 AS sensor_2
+FROM (SELECT *, avg(sensor_1) OVER () AS m1, stddev_pop(sensor_1) OVER () AS d1,
+        avg(sensor_2) OVER () AS m2, stddev_pop(sensor_2) OVER () AS d2 FROM ev)"""
+)
+def variant_matrix_a(spark, sf):
+    fleet = events_fleet(spark, sf)
+    pre = regimes.fit_variant(fleet, "A", ["sensor_1", "sensor_2"], SETTINGS)
+    return rounding(regimes.variant_matrix(fleet, pre).select("unit_id", "cycle", *pre.inputs))
 
 
 @query(
-    """, p AS (SELECT avg(sensor_1) AS m1, stddev_pop(sensor_1) AS d1, avg(setting_1) AS m2, stddev_pop(setting_1) AS d2
-  FROM sup)
-SELECT unit_id, cycle, round((sensor_1 - m1) / d1, 6) + 0.0 AS sensor_1,
-  round((setting_1 - m2) / d2, 6) + 0.0 AS setting_1 FROM sup, p"""
+    """SELECT unit_id, cycle, round((sensor_1 - m1) / d1, 6) + 0.0 AS sensor_1,
+  round((setting_1 - m2) / d2, 6) + 0.0 AS setting_1
+FROM (SELECT *, avg(sensor_1) OVER () AS m1, stddev_pop(sensor_1) OVER () AS d1,
+        avg(setting_1) OVER () AS m2, stddev_pop(setting_1) OVER () AS d2 FROM sup)"""
 )
 def variant_matrix_b(spark, sf):
     fleet = supplier_fleet(spark, sf)
@@ -759,6 +767,22 @@ def variant_matrix_b(spark, sf):
     return rounding(regimes.variant_matrix(fleet, pre).select("unit_id", "cycle", *pre.inputs))
 
 
+def _variant(spark, sf, variant: str) -> DataFrame:
+    fleet = supplier_fleet(spark, sf)
+    pre = regimes.fit_variant(fleet, variant, ALL_SENSORS, SETTINGS, k=6)
+    return regimes.variant_matrix(fleet, pre).select("unit_id", "cycle", *pre.inputs)
+
+
+@query()
+def variant_matrix_c(spark, sf):
+    return _variant(spark, sf, "C")
+
+
+@query()
+def variant_matrix_d(spark, sf):
+    return _variant(spark, sf, "D")
+
+
 # ---- windows -----------------------------------------------------------------
 
 
@@ -1074,33 +1098,30 @@ RUN_NOTES = (
     "(CASE p_partkey % 3 WHEN 0 THEN '45' WHEN 1 THEN '125' ELSE 'none' END) || '_' || "
     "(CASE p_partkey % 2 WHEN 0 THEN 'all' ELSE 'varying' END)"
 )
-# When a run counts towards an ablation factor, and how it is labelled.
-FACTOR_RULES = (
-    ("variant = 'w90_c45_all' AND model = 'gru'", "'composed A+B'"),
-    ("\"window\" <> 90 OR variant = 'w90_c125_all'", "concat('A window=', \"window\")"),
-    ("cap <> '125'", "concat('B cap=', cap)"),
-    ("model IN ('lstm', 'gru', 'tcn') AND loss <> 'mse'", "concat('C loss=', loss)"),
-    ("sensors = 'varying'", "'D sensors=varying'"),
-    ("variant = 'w90_c45_all'", "'E architecture'"),
-)
+BASELINE_RUN = {"window": "60", "cap": "125", "sensors": "all", "loss": "mse", "model": "gru"}
 
 
 @query(
-    f""", runs AS (
+    """, runs AS (
   SELECT p_partkey AS run_id, (CASE p_size % 4 WHEN 0 THEN 'gru' WHEN 1 THEN 'lstm' WHEN 2 THEN 'xgboost' ELSE 'rf' END) AS model,
-         {RUN_NOTES} AS noted, 15 * (p_size % 6 + 1) AS "window",
+         (15 * (p_size % 6 + 1))::VARCHAR AS "window",
          (CASE p_partkey % 3 WHEN 0 THEN '45' WHEN 1 THEN '125' ELSE 'none' END) AS cap,
          (CASE p_partkey % 2 WHEN 0 THEN 'all' ELSE 'varying' END) AS sensors,
          (CASE p_partkey % 5 WHEN 0 THEN 'huber' WHEN 1 THEN '-' ELSE 'mse' END) AS loss
   FROM part
-), cut AS (SELECT *, substr(noted, 9) AS variant FROM runs), named AS (
-  SELECT run_id, model, variant, loss,
-    concat_ws('; ', {", ".join(f"CASE WHEN {holds} THEN {label} END" for holds, label in FACTOR_RULES)}) AS factor FROM cut
+), changes AS (
+  SELECT run_id, 1 AS place, 'window=' || "window" AS change FROM runs WHERE "window" <> '60'
+  UNION ALL SELECT run_id, 2, 'cap=' || cap FROM runs WHERE cap <> '125'
+  UNION ALL SELECT run_id, 3, 'sensors=varying' FROM runs WHERE sensors = 'varying'
+  UNION ALL SELECT run_id, 4, 'loss=' || loss FROM runs WHERE loss <> 'mse'
+  UNION ALL SELECT run_id, 5, 'model=' || model FROM runs WHERE model <> 'gru'
 )
-SELECT * FROM named WHERE factor <> ''"""
+SELECT run_id, model, 'w' || "window" || '_c' || cap || '_' || sensors AS variant, loss, factor, n AS changed
+FROM runs JOIN (SELECT run_id, string_agg(change, '; ' ORDER BY place) AS factor, count(*)::INT AS n
+                FROM changes GROUP BY run_id) USING (run_id)"""
 )
 def ablation_labels(spark, sf):
-    """Run notes composed from the part table."""
+    """Run notes composed from the part table, labelled by how they differ from a baseline run."""
     loss = F.when(F.col("p_partkey") % 5 == 0, F.lit(" loss=huber")).when(
         F.col("p_partkey") % 5 == 1, F.lit("")
     ).otherwise(F.lit(" loss=mse"))
@@ -1111,9 +1132,8 @@ def ablation_labels(spark, sf):
         ).alias("model"),
         F.concat(F.expr(RUN_NOTES), loss).alias("notes"),
     )
-    rules = [(holds.replace('"', "`"), label.replace('"', "`")) for holds, label in FACTOR_RULES]
-    labelled = selection.label_runs(selection.parse_runs(runs, "w30_c125_all"), rules)
-    return labelled.select("run_id", "model", "variant", "loss", "factor")
+    labelled = selection.label_changes(selection.parse_runs(runs, "w30_c125_all"), BASELINE_RUN)
+    return labelled.select("run_id", "model", "variant", "loss", "factor", "changed")
 
 
 @query(
@@ -1397,10 +1417,10 @@ def occlusion_by_fraction(spark, sf):
     OCCLUSION_SQL
     + """SELECT fraction, sensor, round(mean_abs_delta, 6) AS mean_abs_delta FROM (
   SELECT *, row_number() OVER (PARTITION BY fraction ORDER BY mean_abs_delta DESC, sensor) AS r FROM by_fraction)
-WHERE r <= 1"""
+WHERE r <= 3"""
 )
 def occlusion_top_sensors(spark, sf):
-    top = sensitivity.top_sensors(occlusion_deltas(spark, sf), 1)
+    top = sensitivity.top_sensors(occlusion_deltas(spark, sf), 3)
     return rounding(top.select("fraction", "sensor", "mean_abs_delta"))
 
 
@@ -1554,12 +1574,19 @@ def fit_boosted(spark, sf):
 
 @query()
 def boosted_best_iteration(spark, sf):
+    """Up to 500 rounds of depth 6, ended by a patience of 30 rounds on the monitor rows."""
     rows = _train_rows(spark, sf)
     inputs = features.feature_names(["sensor_1", "sensor_2"])
-    model = models.fit_model("boosted", rows.filter(F.col("role") == "train"), inputs, TREE)
-    best = models.best_iteration(model, rows.filter(F.col("role") == "validation"))
-    held = rows.filter(F.col("role") == "validation").agg(F.count(F.lit(1)).alias("monitor_rows"))
-    return held.withColumn("best_iteration", F.lit(best))
+    stop = rows.filter(F.col("role") == "validation")
+    found = boosting.boost(
+        rows.filter(F.col("role") == "train"), inputs, {"stepSize": 0.3}, stop=stop
+    )
+    return stop.agg(F.count(F.lit(1)).alias("monitor_rows")).select(
+        "monitor_rows",
+        F.lit(found.best_iteration).alias("best_iteration"),
+        F.lit(found.rounds_fitted).alias("rounds_fitted"),
+        F.lit(found.losses[found.best_iteration]).alias("best_loss"),
+    )
 
 
 @query()
@@ -1576,11 +1603,15 @@ def final_fit(spark, sf):
 
 @query()
 def nested_cv_boosted(spark, sf):
-    candidates = [flows.Candidate("boosted_w30", "boosted", W, {"maxIter": 4, "maxDepth": 3})]
+    candidates = [
+        flows.Candidate("boosted_w30", "boosted", W, {"maxIter": 4, "maxDepth": 3}),
+        flows.Candidate("linear_w30", "linear", W),
+        flows.Candidate("mean_w30", "mean", W),
+    ]
     rows, _ = flows.nested_cv(
         events_fleet(spark, sf),
-        dev_folds(spark, sf).withColumn("fold", (F.col("fold") > 2).cast("int") + 1),
-        2,
+        dev_folds(spark, sf),
+        FOLDS,
         candidates,
         ["sensor_1", "sensor_2"],
         inner_stop(),
@@ -1600,6 +1631,83 @@ def group_cv_linear(spark, sf):
     return rows.drop("training_time")
 
 
+@query(
+    """, t AS (
+  SELECT g.fold, cycle::DOUBLE AS a, sensor_1 AS b, rul::DOUBLE AS y
+  FROM (SELECT unnest(range(1, 5)) AS fold) g JOIN folds ON folds.fold <> g.fold JOIN evr USING (unit_id)
+), m AS (
+  SELECT fold, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb,
+         covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM t GROUP BY fold
+), s AS (
+  SELECT *, (ay * vb - by_ * ab) / (va * vb - ab * ab) AS wa, (by_ * va - ay * ab) / (va * vb - ab * ab) AS wb FROM m
+), held AS (
+  SELECT folds.fold, rul - (my - wa * ma - wb * mb + wa * cycle + wb * sensor_1) AS e FROM evr JOIN folds USING (unit_id)
+  JOIN s ON s.fold = folds.fold
+)
+SELECT s.fold::INT AS fold, n, round(my, 6) AS mean_label, round(my - wa * ma - wb * mb, 6) AS intercept,
+  round(wa, 6) AS weight_age, round(wb, 6) AS weight_sensor, round(rmse, 6) AS rmse
+FROM s JOIN (SELECT fold, sqrt(avg(e * e)) AS rmse FROM held GROUP BY fold) h ON h.fold = s.fold"""
+)
+def cv_least_squares(spark, sf):
+    """Every fold's least squares from one scan, and its error on the units it did not see."""
+    rows = target.add_target(attach_units(events_fleet(spark, sf), dev_folds(spark, sf)))
+    rows = rows.select("fold", "rul", F.col("cycle").cast("double").alias("age"), "sensor_1")
+    inputs = ["age", "sensor_1"]
+    fits = leastsquares.fold_models(rows, inputs)
+    held = leastsquares.predict_held_out(rows, fits, inputs)
+    errors_ = held.groupBy("fold").agg(F.sqrt(F.avg((F.col("prediction") - F.col("rul")) ** 2)).alias("rmse"))
+    return rounding(
+        fits.join(F.broadcast(errors_), "fold").select(
+            "fold",
+            "n",
+            "mean_label",
+            "intercept",
+            F.get("weights", F.lit(0)).alias("weight_age"),
+            F.get("weights", F.lit(1)).alias("weight_sensor"),
+            "rmse",
+        )
+    )
+
+
+def _grid(spark, sf, points) -> DataFrame:
+    results, _ = flows.run_grid(
+        events_fleet(spark, sf),
+        splits.split_units(event_lifetimes(spark, sf)),
+        ["sensor_1", "sensor_2"],
+        points,
+        new_table_path(spark, "grid"),
+    )
+    return results.drop("training_time")
+
+
+@query(
+    f""", points AS (
+  SELECT w, c, 'mean_w' || w || CASE WHEN c IS NULL THEN '' ELSE '_cap' || c END || '_s42' AS experiment_id
+  FROM (VALUES (15, NULL), (30, NULL), (45, NULL), (30, 45), (30, 20)) v(w, c)
+), fitted AS (
+  SELECT experiment_id, any_value(w) AS w, any_value(c) AS c, avg(least(rul, coalesce(c, rul))) AS p
+  FROM points, evr JOIN split2 USING (unit_id) WHERE role = 'train' GROUP BY experiment_id
+), held AS (
+  SELECT fitted.*, true_raw_rul AS y FROM latman JOIN split2 USING (unit_id), fitted WHERE role = 'validation'
+)
+SELECT experiment_id, 'mean' AS model, any_value(w)::INT AS "window",
+  CASE WHEN any_value(c) IS NULL THEN 'none' ELSE 'cap=' || any_value(c) END AS overrides, {metric_sql("y", "p")}
+FROM held GROUP BY experiment_id"""
+)
+def ablation_run(spark, sf):
+    """A grid of windows and target caps, run side by side."""
+    points = flows.grid_points((15, 30, 45), ("mean",), [("mean", 30, {"cap": 45}), ("mean", 30, {"cap": 20})])
+    return metric_rounding(_grid(spark, sf, points))
+
+
+@query()
+def ablation_run_models(spark, sf):
+    """A grid of learners, windows and learner settings, run side by side."""
+    overrides = [("boosted", 30, {"maxIter": 6, "maxDepth": d}) for d in (3, 6)]
+    overrides += [("forest", 30, {"numTrees": 10, "maxDepth": 6}), ("linear", 30, {"cap": 45})]
+    return _grid(spark, sf, flows.grid_points((15, 30), ("mean", "linear"), overrides))
+
+
 @query()
 def variant_comparison(spark, sf):
     results, _ = flows.compare_variants(
@@ -1609,10 +1717,7 @@ def variant_comparison(spark, sf):
         SETTINGS,
         W,
         inner_stop(),
-        k=4,
         params={"maxIter": 3, "maxDepth": 2},
-        variants=("A", "D"),
-        n_init=1,
     )
     return results.drop("training_time")
 

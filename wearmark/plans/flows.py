@@ -196,7 +196,7 @@ def compare_variants(
     params: dict | None = None,
     variants: Sequence[str] = regimes.VARIANTS,
     seed_base: int = 4200,
-    n_init: int = 2,
+    n_init: int = 10,
     fractions: Sequence[float] = checkpoints.BALANCED_FRACTIONS,
 ) -> tuple[DataFrame, DataFrame]:
     """Input variants A-D under one recipe; returns results and predictions.
