@@ -46,6 +46,18 @@ def test_targets_taken_and_reruns(spark, odd_docs, no_docs):
     assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in found)
 
 
+def test_texts_without_words_and_rows_without_id(spark):
+    rows = [(i, words(20, i), "big") for i in range(400)] + [(1000 + i, words(10, i), "small") for i in range(9)]
+    rows += [(2000 + i, ["", None, " \n"][i % 3], ["big", "small"][i % 2]) for i in range(60)]
+    rows += [(None, words(15, i), "none") for i in range(300)]
+    found = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(0 <= r.copies <= (1 if r["size"] == 0 else 3) for r in found)
+    ceiling = [r for r in found if r.source == "small" and r["size"]]
+    assert {r.copies for r in ceiling} == {3}  # a source at its ceiling
+    # rows without an id are not all on one side
+    assert len({r.copies for r in found if r.doc_id is None}) == 2
+
+
 def test_odd_documents(odd_docs, no_docs):
     found = mixing.copies(odd_docs).collect()
     assert len(found) == odd_docs.count()

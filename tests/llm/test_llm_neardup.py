@@ -116,6 +116,28 @@ def test_repeated_row_leaves_one(spark):
     assert sorted(r.doc_id for r in neardup.deduplicated(docs).collect()) == [1, 2]
 
 
+def test_repeated_id_loses_no_unique_text(spark):
+    same, near, other = words(80, 1), words(80, 1).replace(" ", "  ", 1), words(70, 2)
+    rows = [(1, same), (2, same), (2, other), (3, near), (None, same), (None, words(60, 3)), (None, words(60, 3)), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS label", "2 AS __id", "3 AS kept")
+    kept = neardup.deduplicated(docs.repartition(3))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, words(60, 3)), (1, same), (2, other)])
+
+
+def test_large_classes_are_joined_apart(spark):
+    docs = [(i, "a b c d e f g h") for i in range(40)] + [(100 + i, words(40, i)) for i in range(30)]
+    docs += [(200 + i, words(40, i)) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for share in (1, 3, 1000):  # no class is hot, one is, all are
+        neardup_hot, neardup.HOT_CLASSES = neardup.HOT_CLASSES, share
+        try:
+            found = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(frame).collect()}
+        finally:
+            neardup.HOT_CLASSES = neardup_hot
+        assert found == {i: (0, 40) if i < 40 else (i if i < 200 else i - 100, 2) for i, _ in docs}
+
+
 def test_sampling_estimates_weighted_jaccard():
     sampler, weights = neardup.Sampler(), np.ones(1 << neardup.FEATURE_BITS, np.float32)
     errors = []

@@ -71,6 +71,23 @@ def test_round_trip(spark, odd_docs):
     )
 
 
+def test_ids_of_odd_cases_equal_the_tokenizer():
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = packing.ChunkEncoder(PATH)
+    texts = ["ΟΔΟΣ ΣΟΦΟΣ Σ", "ΛΌΓΟΣ, τέλος.", "İstanbul ǅ ẞ", "a\u0301 e\u0301", "ÅNGSTRÖM \u212b", "x\x1fy"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    encode = packing.ChunkEncoder(PATH)
+    for seed in range(40):
+        encode([words(60, seed)])
+        assert encode.held < 20_000 + 60 * 400
+
+
 def test_empty_table(no_docs):
     assert packing.packed_documents(no_docs, PATH).count() == 0
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytebpe import byte_encoder
-from .common import BROADCAST_ROWS, delete_written, text_or_empty, worker_state, written
+from .common import BROADCAST_ROWS, lean, text_or_empty, worker_state, written
 
 TEXT_BYTES = 512 << 10  # of texts aligned at a time; a longer text is aligned alone
 PAIRS_HELD = 500_000  # distinct id pairs that a task counts before it hands them on
@@ -172,7 +172,7 @@ def linked(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id"
                 keys = batch.column("doc_id").slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([keys, *found.columns], names=["doc_id", *found.schema.names])
 
-    return source.mapInArrow(run, f"doc_id {kind}, {LINKED}")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, {LINKED}")
 
 
 def pair_counts(lines: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def pair_counts(lines: DataFrame) -> DataFrame:
         if held:
             yield from added().to_batches()
 
-    parts = lines.select("pairs").mapInArrow(run, "a int, b int, n long")
+    parts = lines.select("pairs").mapInArrow(lean(run), "a int, b int, n long")
     totals = parts.groupBy("a", "b").agg(F.sum("n").alias("count"))
     # a B id meets at most as many A ids as its vocabulary has
     most = F.max("count").over(Window.partitionBy("b"))

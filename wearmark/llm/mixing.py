@@ -111,7 +111,8 @@ def solved(table: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    order = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << ORDER_BITS))
+    # the text counts too, so rows without an id are spread like all others
+    order = F.pmod(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)), F.lit(1 << ORDER_BITS))
     return docs.withColumns(
         {"_size": n_words(text), "_order": order, "_source": F.col(source).cast("string")}
     )
@@ -196,9 +197,13 @@ def _cut(facts: DataFrame, open_: DataFrame) -> DataFrame:
     )
 
 
-def _extra(size: Column, order: Column, levels: Column) -> Column:
-    """1 for rows that are taken once more than the rest of their source."""
-    return F.coalesce(F.exists(levels, lambda x: (size <= x["_most"]) & (order < x["_cut"])), F.lit(False)).cast("int")
+def _times(size: Column, order: Column, least: Column, levels: Column) -> Column:
+    """How often a row is taken: as often as the rest of its source, or once more, and never above the ceiling.
+
+    Rows without words take no part in filling the target, so they are not taken more than once.
+    """
+    more = F.coalesce(F.exists(levels, lambda x: (size <= x["_most"]) & (order < x["_cut"])), F.lit(False)).cast("int")
+    return F.when(size > 0, F.least(least + more, F.lit(CEILING))).otherwise(F.least(least, F.lit(1))).cast("int")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -211,7 +216,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     table = table.select(*[F.col(c).alias(f"_p_{c}") for c in table.columns])
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     rows = _keyed(docs, key, text, source).join(small_side(table), F.col("_source").eqNullSafe(F.col("_p_source")))
-    times = F.col("_p_least") + _extra(F.col("_size"), F.col("_order"), F.col("_p_levels"))
+    times = _times(F.col("_size"), F.col("_order"), F.col("_p_least"), F.col("_p_levels"))
     return rows.select(
         *kept,
         F.col("_size").alias("size"),
@@ -229,5 +234,5 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.struct(*docs.columns).alias("__row"), key, text, source)
     rows = _keyed(rows, key, text, source).select("__row", "_source", "_size", "_order")
     placed = rows.join(small_side(table), F.col("_source").eqNullSafe(F.col("_p_source")))
-    times = F.col("_p_least") + _extra(F.col("_size"), F.col("_order"), F.col("_p_levels"))
+    times = _times(F.col("_size"), F.col("_order"), F.col("_p_least"), F.col("_p_levels"))
     return placed.select("__row", F.explode(F.array_repeat(F.lit(1), times)).alias("__n")).select("__row.*")

@@ -27,9 +27,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import delete_written, small_side, text_or_empty, written
+from .common import delete_written, lean, small_side, text_or_empty, written
 from .graph import components
 
 WORDS = 5
@@ -46,6 +46,7 @@ LEADER_BLOCK = 4_000
 REST_BLOCK = 250  # texts of a bucket of several classes compared exactly in one piece, and their bytes
 REST_BYTES = 2 << 20
 SEED = 20_11
+HOT_CLASSES = 1_000  # a class with more than this part of all rows is joined by broadcast
 WORD_CACHE = 200_000
 ELEMENTS = 1 << 16  # shingles sketched at a time
 
@@ -83,8 +84,8 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, node, shingles``: the node is the digest of the shingle multiset, equal for equal texts."""
-    source = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
+    """``key, text_key, node, shingles``: the node is the digest of the shingle multiset, equal for equal texts."""
+    source = docs.select(F.col(key).alias("doc_id"), text_key(text).alias("text_key"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -92,12 +93,12 @@ def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             found = [shingles(t.as_py(), hashes).tobytes() for t in batch.column("text")]
             nodes = [xxhash.xxh128_digest(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(found, pa.binary())],
-                names=["doc_id", "node", "shingles"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(found, pa.binary())],
+                names=["doc_id", "text_key", "node", "shingles"],
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, node binary, shingles binary")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, text_key string, node binary, shingles binary")
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def feature_weights(table: DataFrame) -> np.ndarray:
         )
 
     kind = "block int, part int, counts binary"
-    counted = table.select("shingles").mapInArrow(count, kind)
+    counted = table.select("shingles").mapInArrow(lean(count), kind)
     summed = counted.groupBy("block", "part").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
     df = np.zeros(1 << FEATURE_BITS, np.float64)
     for row in summed.collect():
@@ -250,7 +251,7 @@ def sketched(table: DataFrame, weights: np.ndarray) -> DataFrame:
                     names=["node", "bands", "codes"],
                 )
 
-    return table.select("node", "shingles").mapInArrow(run, "node binary, bands array<bigint>, codes binary")
+    return table.select("node", "shingles").mapInArrow(lean(run), "node binary, bands array<bigint>, codes binary")
 
 
 def candidates_of(table: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
@@ -319,7 +320,7 @@ def _compared(groups: DataFrame) -> DataFrame:
             )
 
     schema = "leader boolean, band int, key bigint, a binary, b binary"
-    return groups.select("band", "key", "many", "members").mapInArrow(run, schema)
+    return groups.select("band", "key", "many", "members").mapInArrow(lean(run), schema)
 
 
 def _crossed(meetings: DataFrame) -> DataFrame:
@@ -343,7 +344,7 @@ def _crossed(meetings: DataFrame) -> DataFrame:
             columns = list(zip(*sorted(pairs))) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["a", "b"])
 
-    return meetings.select("members", "leaders").mapInArrow(run, "a binary, b binary")
+    return meetings.select("members", "leaders").mapInArrow(lean(run), "a binary, b binary")
 
 
 def candidate_pairs(sketches: DataFrame) -> DataFrame:
@@ -413,7 +414,7 @@ def verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, similar: f
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u binary, v binary, similarity double").filter(
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "u binary, v binary, similarity double").filter(
         F.col("similarity") >= similar
     )
 
@@ -526,7 +527,26 @@ def missed_links(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["u", "v", "similarity"]
             )
 
-    return lists.mapInArrow(run, "u binary, v binary, similarity double")
+    return lists.mapInArrow(lean(run), "u binary, v binary, similarity double")
+
+
+def text_key(text: str) -> Column:
+    """Digest that tells whole texts apart; null counts as empty."""
+    return F.md5(F.encode(text_or_empty(text), "UTF-8"))
+
+
+def with_class_line(rows: DataFrame, lines: DataFrame, size: str) -> DataFrame:
+    """``rows`` joined to ``lines`` on ``label``; both are written tables.
+
+    ``lines`` has one line per class with its ``size``. A class with over a
+    thousandth of all rows would be one hot key: such lines, fewer than a
+    thousand, are broadcast, and only the rows of other classes are shuffled.
+    """
+    total = lines.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_CLASSES > total
+    large = F.broadcast(lines.filter(hot))
+    small = rows.join(large.select("label"), "label", "left_anti").join(lines.filter(~hot), "label")
+    return rows.join(large, "label").unionByName(small)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -537,6 +557,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts among each other) share a class. Rows without an id get the class of
     their text. An empty table gives an empty one; other columns play no part.
     """
+    rows = classes(docs, key, text).select("doc_id", "label", "n_links")
+    rows = written(rows, "classes")
+    lines = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    found = with_class_line(rows, written(lines, "class_lines"), "class_size")
+    return found.select("doc_id", "class_id", "class_size", "n_links")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_key, label, n_links`` for every row: equal labels are one near-duplicate class."""
     table = written(shingled(docs, key, text), "shingles")
     weights = feature_weights(table)
     sketches = written(sketched(table, weights).dropDuplicates(["node"]), "sketches")
@@ -552,24 +581,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         links = links.unionByName(missed)
     ends = links.select(F.explode(F.array("u", "v")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = table.select("doc_id", "node").join(labels.join(degree, "node", "left"), "node", "left")
-    rows = rows.select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "label").select("doc_id", "class_id", "class_size", "n_links")
+    rows = table.select("doc_id", "text_key", "node").join(labels.join(degree, "node", "left"), "node", "left")
+    return rows.select(
+        "doc_id",
+        "text_key",
+        F.coalesce("label", "node").alias("label"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document per class, the one with the smallest id.
+    """``docs`` with one row per class: the smallest id, rows without an id last, ties by a digest of the text.
 
-    Of rows that repeat an id with equal text one stays. Rows without an id stay.
+    Rows are told apart by id and whole text, so a repeated id drops no unique
+    text, and of rows equal in both one stays.
     """
-    found = written(near_duplicates(docs, key, text), "classes")
-    extra = written(found.filter("doc_id != class_id").select("doc_id").distinct(), "extra")
-    left = docs.join(small_side(extra), docs[key] == extra["doc_id"], "left_anti")
-    twice = written(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    side = small_side(twice)
-    once = left.join(side, left[key] == twice["doc_id"], "left_anti")
-    again = left.join(side, left[key] == twice["doc_id"], "left_semi")
-    return once.unionByName(again.dropDuplicates([key, text]))
+    rows = written(classes(docs, key, text).select("doc_id", "text_key", "label"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    lines = rows.groupBy("label").agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = with_class_line(rows, written(lines, "class_lines"), "n")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.id")) & (F.col("text_key") == F.col("kept.text"))
+    marked = met.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.max(is_kept).alias("kept"))
+    # ids and texts to drop, and those of which one of several equal rows stays
+    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+    extra = named(written(marked.filter("not kept"), "extra"))
+    twice = named(written(marked.filter("kept and n > 1"), "twice"))
+    own = docs.withColumns({"__own_id": F.col(key), "__own_text": text_key(text)})
+    same = lambda side: F.col("__own_id").eqNullSafe(side["__id"]) & (F.col("__own_text") == side["__text"])
+    drop = small_side(extra)
+    left = own.join(drop, same(drop), "left_anti")
+    if not twice.isEmpty():
+        side = small_side(twice)
+        again = left.join(side, same(side), "left_semi").dropDuplicates(["__own_id", "__own_text"])
+        left = left.join(side, same(side), "left_anti").unionByName(again)
+    return left.select(*docs.columns)

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_letters, ranked, text_or_empty, worker_state, written
+from .common import byte_letters, lean, ranked, text_or_empty, worker_state, written
 
 WINDOW = 4096
 END_ID = 2
-CHUNK_CACHE = 300_000
+CACHE_BYTES = 24 << 20  # of chunks and ids that a worker keeps
+ENTRY_BYTES = 160  # of one entry besides its text
 ENCODE_ROWS = 200  # texts whose new chunks are looked up together
 # Spaces of str.split that the tokenizer does not treat as white space.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -46,6 +47,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.marks = {mark: self._whole([mark])[0] for mark in ".,"}
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
@@ -77,6 +79,7 @@ class ChunkEncoder:
                 other.append(chunk)
         if other:
             cache.update(zip(other, self._whole(other)))
+        self.held += sum(ENTRY_BYTES + 2 * len(chunk) + len(cache[chunk]) for chunk in fresh)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -85,13 +88,15 @@ class ChunkEncoder:
             lower = text.lower()
             # lower-casing first is the tokenizer's own order only for composed texts
             composed = unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)
-            if composed and not any(c in text for c in _ODD_SPACE):
+            # Python lower-cases a final capital sigma by its place, the tokenizer does not
+            if composed and "Σ" not in text and not any(c in text for c in _ODD_SPACE):
                 chunks[i] = lower.split()
             else:
                 found = self.tokenizer.encode(text, add_special_tokens=False)
                 out[i] = np.array(found.ids, "<u4").tobytes()
-        if len(self.cache) > CHUNK_CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         self._learn(set().union(*chunks.values()).difference(self.cache))
         look = self.cache.__getitem__
         for i, parts in chunks.items():
@@ -134,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    return source.mapInArrow(run, PIECE.format(kind=source.schema["doc_id"].dataType.simpleString()))
+    return source.mapInArrow(lean(run), PIECE.format(kind=source.schema["doc_id"].dataType.simpleString()))
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -241,7 +246,7 @@ def placed(cut: DataFrame, found: list[tuple[dict[int, int], int]]) -> DataFrame
             )
 
     schema = StructType([*cut.schema, *StructType.fromDDL("sequence_id long, offset long")])
-    return numbered.select(*names, "_rank").mapInArrow(run, schema)
+    return numbered.select(*names, "_rank").mapInArrow(lean(run), schema)
 
 
 def packed_documents(

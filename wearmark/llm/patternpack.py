@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytebpe import byte_encoder
-from .common import text_or_empty, written
+from .common import lean, text_or_empty, written
 from .packing import histogram_of, placed
 
 WINDOW = 2048
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return source.mapInArrow(run, PIECE.format(kind=source.schema["doc_id"].dataType.simpleString()))
+    return source.mapInArrow(lean(run), PIECE.format(kind=source.schema["doc_id"].dataType.simpleString()))
 
 
 def enumerated(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:

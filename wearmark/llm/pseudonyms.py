@@ -14,19 +14,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 # Formats, in the order in which they are tried at a place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,30}+"
+# Lengths of IBANs without spaces, by country; another country's number ends where letters and digits end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI", 20: "AT EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB IE",
+    24: "CZ ES RO SE SK", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "CY HU PL", 31: "MT",
+}
+_IBANS = [f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()]
+IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join(_IBANS)}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+PHONE = (
+    r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# The usual groups first: a month or a code may follow the number after a blank.
+CARD = (
+    r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}"
+    r"|[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"
+)
 KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD}
 ANY = "|".join(KINDS.values())
 
 # Dates from 1900 to 2099: 73049 days = 17 * 4297, so a two-part network covers them exactly.
 FIRST_DAY, DAYS, DAY_PART = "1900-01-01", 73_049, 4_297
-DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", ".": "dd.MM.yyyy"}
+# Tried in turn: with slashes the month comes first only where the day cannot.
+DATE_FORMATS = (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
+# Repeats of a permutation until its result is valid again; one in eight needs another, so this never runs out.
+WALK = 24
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,7 +59,7 @@ def _template(value: Column) -> Column:
     return F.translate(value, _DIGITS + _UPPER + _LOWER, "d" * 10 + "A" * 26 + "a" * 26)
 
 
-def permuted(value: Column, template: Column, key: str, kind: str) -> Column:
+def permuted(value: Column, template: Column, key: str | Column, kind: str | Column) -> Column:
     """Feistel network over characters: in turn the odd and the even places move by a function of the others.
 
     Places whose template letter is d, A or a move inside their class.
@@ -93,13 +109,27 @@ def _last_replaced(value: Column, digit: Column) -> Column:
     return F.concat(F.substring(value, F.lit(1), F.length(value) - 1), digit.cast("string"))
 
 
+def _compact(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9A-Za-z]", "")
+
+
+def laid(value: Column, compact: Column) -> Column:
+    """``value`` with its letters and digits replaced, in order, by those of ``compact``; what separates them stays."""
+
+    def one(i: Column) -> Column:
+        c = F.substring(value, i, F.lit(1))
+        at = F.length(_compact(F.substring(value, F.lit(1), i)))
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(compact, at, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+
+
 def card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    open_ = _last_replaced(value, F.lit(0))
-    moved = permuted(open_, _last_replaced(_template(value), F.lit("x")), key, "card")
-    rest = luhn_sum(F.regexp_replace(moved, "[^0-9]", ""))
-    closed = _last_replaced(moved, F.pmod(-rest, F.lit(10)))
-    return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, closed).otherwise(value)
+    """All digits but the check digit move, alike however the number is spaced."""
+    digits = _compact(value)
+    moved = permuted(_last_replaced(digits, F.lit(0)), _last_replaced(_template(digits), F.lit("x")), key, "card")
+    closed = _last_replaced(moved, F.pmod(-luhn_sum(moved), F.lit(10)))
+    return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, laid(value, closed)).otherwise(value)
 
 
 def _iban_rest(compact: Column) -> Column:
@@ -115,13 +145,14 @@ def _iban_rest(compact: Column) -> Column:
 
 
 def iban(value: Column, key: str) -> Column:
-    compact = F.regexp_replace(value, " ", "")
-    open_ = F.concat(F.substring(value, 1, 2), F.lit("00"), F.substring(value, F.lit(5), F.length(value)))
-    template = F.concat(F.lit("xxxx"), F.substring(_template(value), F.lit(5), F.length(value)))
+    """The account moves, alike however the number is spaced; country and length stay, check digits are new."""
+    compact = _compact(value)
+    open_ = F.concat(F.substring(compact, 1, 2), F.lit("00"), F.substring(compact, F.lit(5), F.length(compact)))
+    template = F.concat(F.lit("xxxx"), F.substring(_template(compact), F.lit(5), F.length(compact)))
     moved = permuted(open_, template, key, "iban")
-    check = F.lpad((98 - _iban_rest(F.regexp_replace(moved, " ", ""))).cast("string"), 2, "0")
+    check = F.lpad((98 - _iban_rest(moved)).cast("string"), 2, "0")
     closed = F.concat(F.substring(moved, 1, 2), check, F.substring(moved, F.lit(5), F.length(moved)))
-    return F.when(_iban_rest(compact) == 1, closed).otherwise(value)
+    return F.when(_iban_rest(compact) == 1, laid(value, closed)).otherwise(value)
 
 
 def ip(value: Column, key: str) -> Column:
@@ -147,7 +178,7 @@ def ip(value: Column, key: str) -> Column:
 
 def date(value: Column, key: str) -> Column:
     out = value
-    for mark, form in DATE_FORMATS.items():
+    for mark, form in DATE_FORMATS:
         day = F.try_to_timestamp(value, F.lit(form)).cast("date")
         n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         start = F.struct(F.floor(n / DAY_PART).cast("long").alias("a"), F.pmod(n, F.lit(DAY_PART)).cast("long").alias("b"))
@@ -175,15 +206,26 @@ def email(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """All digits but the country code move."""
-    template = _template(value)
-    fixed = F.when(F.startswith(value, F.lit("+1")), F.concat(F.lit("+x"), F.substring(template, F.lit(3), F.length(value))))
-    return permuted(value, F.coalesce(fixed, template), key, "phone")
+    """All digits but those of the country move, alike however the number is written, with or without +1."""
+    digits = _compact(value)
+    abroad = F.startswith(value, F.lit("+"))
+    head = F.when(abroad & F.startswith(digits, F.lit("1")), 1).when(abroad, 2).otherwise(0)
+    country, rest = F.substring(digits, F.lit(1), head), F.substring(digits, head + 1, F.length(digits))
+    # the country of other numbers counts; +1 is what numbers without one are taken for
+    place = F.when(head == 2, country).otherwise("")
+    moved = permuted(rest, _template(rest), F.lit(key), F.concat(F.lit("phone"), place))
+    return laid(value, F.concat(country, moved))
 
 
 def ssn(value: Column, key: str) -> Column:
-    valid = ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
-    return F.when(valid, permuted(value, _template(value), key, "ssn")).otherwise(value)
+    """Moves among valid numbers: the permutation is repeated until its result is one."""
+    valid = lambda v: ~v.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    moved = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)),
+        value,
+        lambda acc, i: F.when((i > 1) & valid(acc), acc).otherwise(permuted(acc, _template(acc), key, "ssn")),
+    )
+    return F.when(valid(value), moved).otherwise(value)
 
 
 _MAKERS = {"email": email, "iban": iban, "date": date, "ip": ip, "phone": phone, "ssn": ssn, "card": card}

@@ -1,7 +1,8 @@
 """Quality by weak supervision: rules vote or abstain, EM learns how far to trust each of them.
 
 Every rule looks at one measure of a text and votes good (1), bad (-1) or
-abstains (0). Texts are reduced to counts of vote patterns, of which there are
+abstains (0). Rules overlap on purpose: what is junk is odd in more than one
+measure, so the rules can be held against each other. Texts are reduced to counts of vote patterns, of which there are
 at most ``3 ** len(RULES)`` whatever the corpus size, and
 expectation-maximisation over those counts estimates each rule's behaviour on
 good and on bad texts. A text is kept when its posterior of being good reaches
@@ -11,13 +12,18 @@ would.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from .common import lean, worker_state
+
 # name -> (measure, good up to, bad from); a measure in between abstains
 RULES: dict[str, tuple[str, float, float]] = {
     "symbols": ("symbol_rate", 0.10, 0.40),
@@ -27,20 +33,25 @@ RULES: dict[str, tuple[str, float, float]] = {
     "repeated_lines": ("dup_line_rate", 0.30, 0.60),
     "long_words": ("word_length", 9.0, 14.0),
     "odd_characters": ("odd_rate", 0.15, 0.35),
+    "bare_symbols": ("bare_rate", 0.08, 0.25),
 }
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP_AT = 0.5
-EM_ROUNDS = 200
+EM_ROUNDS = 500
 PRIOR_GOOD = 0.85
 # Pseudo-counts of the prior belief in a rule; they keep rarely voting rules near it.
 PRIOR_WEIGHT = 20.0
-# Rules are written for precision: a rule that votes is right on good texts at least this often.
-LEAST_RIGHT_GOOD = 0.999
-# Junk comes in kinds, and a rule sees one or two of them: bounds of P(votes bad | bad, votes). They keep
-# the bad class from narrowing to its most frequent kind.
-RIGHT_BAD = (0.15, 0.4)
-
+# Where EM starts: how often a rule that votes is right on good texts, and how often it votes bad on a
+# kind of junk that it is named for and on other kinds.
+START_GOOD, START_KIND, START_OTHER = 0.99, 0.99, 0.1
+# A kind of junk is odd in both measures that it is named for, nearly always; what stands alone is no kind.
+LEAST_KIND = 0.9
+KIND_WEIGHT = 2.0  # pseudo-counts of a kind
+LEAST = 1e-6  # no estimate is quite 0 or 1
+
+# A word of ASCII marks alone.
+_BARE = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0DA-Za-z0-9\x80-\xFF]+(?![^\x20\x09-\x0D])")
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 MEASURES = {
@@ -56,6 +67,7 @@ MEASURES = {
     "dup_line_rate": pa.float64(),
     "word_length": pa.float64(),
     "odd_rate": pa.float64(),
+    "bare_rate": pa.float64(),
 }
 
 
@@ -86,9 +98,9 @@ def _repeated_words(words: list[bytes]) -> int:
 
 
 def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: is it a letter, is it an upper-case letter."""
+    """For every code point: is it a letter or a mark on one, is it an upper-case letter."""
     points = 0x110000
-    letters = np.fromiter((chr(i).isalpha() for i in range(points)), bool, points)
+    letters = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(points)), bool, points)
     upper = np.fromiter((chr(i).isupper() for i in range(points)), bool, points)
     return letters, upper
 
@@ -121,6 +133,7 @@ def measure(text: str | None, tables: tuple[np.ndarray, np.ndarray]) -> tuple:
         dup_lines / max(len(lines), 1),
         chars / per_word,
         (chars - letters) / max(chars, 1),
+        len(_BARE.findall(raw)) / per_word,
     )
 
 
@@ -148,7 +161,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     fields.add("votes", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _letter_tables()
+        tables = worker_state("letter_tables", _letter_tables)
         for batch in batches:
             rows = [measure(t.as_py(), tables) for t in batch.column("__text")]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), MEASURES.values())]
@@ -158,42 +171,58 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             held = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*held, *columns, votes], names=[*keep, *MEASURES, "votes"])
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(lean(run), fields)
 
 
 def fit_posteriors(patterns: list[tuple[str, int]]) -> dict[str, float]:
     """Posterior of being good for every vote pattern, from the patterns' counts.
 
-    Per rule and class EM estimates how often the rule, when it votes, votes
-    right (a two-coin model; an abstention says nothing). The start and the
-    pseudo-counts say that rules beat chance, which fixes which class is good.
-    No patterns give an empty answer.
+    EM over one class of good texts and, for every two rules, one kind of junk
+    that both tend to see; a kind's share, and how often each rule that votes
+    votes bad in each class, are estimated (an abstention says nothing). A rule
+    that often stands alone is found to err on good texts, so its lone bad vote
+    does not reject; two rules that keep agreeing are a kind of junk. Pseudo-
+    counts hold rarely voting rules near the start. No patterns give an empty
+    answer.
     """
     if not patterns:
         return {}
     counts = np.array([n for _, n in patterns], float)
     good = np.array([[c == "g" for c in p] for p, _ in patterns], float)
     bad = np.array([[c == "b" for c in p] for p, _ in patterns], float)
-    right_good = np.full(good.shape[1], LEAST_RIGHT_GOOD)  # P(votes good | good, votes)
-    right_bad = np.full(good.shape[1], RIGHT_BAD[1])  # P(votes bad | bad, votes): most rules miss most kinds of junk
-    start_good, start_bad, prior = right_good.copy(), right_bad.copy(), PRIOR_GOOD
-    posterior = np.zeros(len(counts))
+    start, floor, weight, share = start_of(good.shape[1])
+    rates, shares, posterior = start.copy(), share.copy(), np.zeros(len(counts))
     for _ in range(EM_ROUNDS):
-        log_good = np.log(prior) + good @ np.log(right_good) + bad @ np.log(1 - right_good)
-        log_bad = np.log(1 - prior) + good @ np.log(1 - right_bad) + bad @ np.log(right_bad)
-        new = 1 / (1 + np.exp(np.clip(log_bad - log_good, -700, 700)))
-        done = np.abs(new - posterior).max() < 1e-9
-        posterior = new
+        log = np.log(shares) + bad @ np.log(rates.T) + good @ np.log(1 - rates.T)
+        odds = np.exp(log - log.max(axis=1, keepdims=True))
+        belongs = odds / odds.sum(axis=1, keepdims=True)
+        done = np.abs(belongs[:, 0] - posterior).max() < 1e-9
+        posterior = belongs[:, 0]
         if done:
             break
-        w_good, w_bad = counts * posterior, counts * (1 - posterior)
-        right_good = (w_good @ good + PRIOR_WEIGHT * start_good) / (w_good @ (good + bad) + PRIOR_WEIGHT)
-        right_bad = (w_bad @ bad + PRIOR_WEIGHT * start_bad) / (w_bad @ (good + bad) + PRIOR_WEIGHT)
-        right_good, right_bad = np.clip(right_good, LEAST_RIGHT_GOOD, 1 - 1e-6), np.clip(right_bad, *RIGHT_BAD)
-        prior = (w_good.sum() + PRIOR_WEIGHT * PRIOR_GOOD) / (counts.sum() + PRIOR_WEIGHT)
+        mass = counts[:, None] * belongs
+        rates = (mass.T @ bad + weight[:, None] * start) / (mass.T @ (good + bad) + weight[:, None])
+        rates = np.clip(rates, floor, 1 - LEAST)
+        shares = (mass.sum(axis=0) + PRIOR_WEIGHT * share) / (counts.sum() + PRIOR_WEIGHT)
     return {p: float(x) for (p, _), x in zip(patterns, posterior)}
 
 
+def start_of(rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, floors, pseudo-counts and shares of the classes: row 0 is good, the others kinds of junk.
+
+    Rates are of bad votes among a rule's votes.
+    """
+    kinds = list(combinations(range(rules), 2)) or [(0, 0)]
+    start = np.full((1 + len(kinds), rules), START_OTHER)
+    floor = np.full(start.shape, LEAST)
+    start[0] = 1 - START_GOOD
+    for k, pair in enumerate(kinds, 1):
+        start[k, list(pair)], floor[k, list(pair)] = START_KIND, LEAST_KIND
+    weight = np.array([PRIOR_WEIGHT] + [KIND_WEIGHT] * len(kinds))
+    share = np.array([PRIOR_GOOD] + [(1 - PRIOR_GOOD) / len(kinds)] * len(kinds))
+    return start, floor, weight, share
+
+
 def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``measured`` with ``posterior``, ``base_failed`` and ``kept``.
 
