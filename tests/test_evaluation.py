@@ -207,3 +207,16 @@ def test_last_buckets_are_open(spark):
     assert {(r["lower"], r["upper"], r["n"]) for r in rows} == {(0, 45, 1), (200, None, 1)}
     shares = errors.multi_profile(df).groupBy("split").agg(F.sum("score_pct").alias("s"), F.sum("count").alias("n"))
     assert all(r["n"] == 2 and r["s"] == pytest.approx(100) for r in shares.collect())
+
+
+def test_profile_reads_and_aggregates_once(spark):
+    df = spark.createDataFrame(
+        [(10, 60, 5.0, 4.0), (50, 90, 40.0, 55.0), (200, 300, 120.0, 100.0)],
+        "observed_cycles long, implied_failure_cycle long, true_rul double, prediction double",
+    )
+    found = errors.multi_profile(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Expand [") == 1
+    rows = {(r["split"], r["group"]): r for r in found.collect()}
+    assert len(rows) == 11 and rows["true_rul_bin", "true_rul_60_99"]["count"] == 0
+    assert sum(r["score_pct"] for (split, _), r in rows.items() if split == "padded_vs_full") == pytest.approx(100)

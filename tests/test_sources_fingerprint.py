@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -98,3 +99,40 @@ def test_label_folder_keeps_file_order(spark, tmp_path):
     (tmp_path / "part-2").write_text("40\n")
     got = {r["unit_id"]: r["true_rul"] for r in text.read_labels(spark, str(tmp_path)).collect()}
     assert got == {i: i for i in range(1, 41)}
+
+
+def test_tree_hash_by_hand(spark):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (3, None)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    tree = {(r["level"], r["node"]): r for r in fingerprint.tree_hash(df, depth=1).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    leaves = {}
+    for k, v, n in ((1, "a", 1), (2, "b", 2), (3, "", 1)):
+        h = sha(f"{k}\x1f{v}")
+        leaves.setdefault(h[0], []).append(f"{h}:{n}")
+    want = {node: sha(",".join(sorted(lines))) for node, lines in leaves.items()}
+    assert {node: r["sha256"] for (level, node), r in tree.items() if level == 1} == want
+    assert tree[0, ""]["sha256"] == sha(",".join(f"{n}:{h}" for n, h in sorted(want.items())))
+    assert tree[0, ""]["rows"] == 4
+    empty = fingerprint.tree_hash(df.limit(0)).collect()
+    assert [(r["level"], r["rows"], r["sha256"]) for r in empty] == [(0, 0, sha(""))]
+
+
+def test_tree_hash_ignores_order_and_locates_changes(spark):
+    df = spark.range(5000).select("id", (F.col("id") / 7).alias("x"), F.lit("c").alias("c"))
+    roots = [
+        fingerprint.tree_hash(frame, depth=2, by=["id"])
+        for frame in (df, df.orderBy(F.desc("x")).repartition(7), df.withColumn("x", F.when(F.col("id") == 77, 0.0).otherwise(F.col("x"))))
+    ]
+    assert fingerprint.tree_changes(roots[0], roots[1]).isEmpty()
+    changes = fingerprint.tree_changes(roots[0], roots[2])
+    assert sorted(r["level"] for r in changes.collect()) == [0, 1, 2]
+    found = fingerprint.rows_under(df, changes, 2, by=["id"])
+    assert found.filter("id = 77").count() == 1 and found.count() < 100
+    gone = fingerprint.tree_changes(roots[0], fingerprint.tree_hash(df.filter("id != 77"), depth=2, by=["id"]))
+    assert {r["rows_before"] - r["rows_after"] for r in gone.collect()} == {1}
+
+
+def test_tree_depth_grows_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "LEAF_ROWS", 10)
+    assert [fingerprint.tree_depth(spark.range(n)) for n in (0, 10, 11, 160, 161)] == [0, 0, 1, 1, 2]

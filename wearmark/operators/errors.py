@@ -88,51 +88,59 @@ def multi_profile(
 ) -> DataFrame:
     """Independent inclusive bucketings plus padded/full, with shares of the total score.
 
-    ``df`` has ``observed_cycles`` and ``implied_failure_cycle``. Each row is
-    counted once per bucketing in one pass; empty groups are kept with count 0.
+    ``df`` has ``observed_cycles`` and ``implied_failure_cycle``. One aggregate
+    over grouping sets counts every bucketing and the whole, so ``df`` is read
+    and shuffled once; empty groups are kept with count 0.
     """
     sources = {
         "observed_history": F.col("observed_cycles"),
         "implied_lifetime": F.col("implied_failure_cycle"),
         "true_rul_bin": F.col(y),
     }
-    names, tags = [], []
+    names, tags = [], {}
     for split, parts in buckets.items():
         value = sources[split]
         tag = F.lit(None).cast("string")
         for lo, hi, group in parts:
             names.append((split, group))
             tag = F.when((value >= lo) & _below(value, hi, inclusive=True), F.lit(group)).otherwise(tag)
-        tags.append(F.struct(F.lit(split).alias("split"), tag.alias("group")))
+        tags[split] = tag
     padded, full = f"padded_observed_lt_{window}", f"full_observed_ge_{window}"
     names += [("padded_vs_full", padded), ("padded_vs_full", full)]
     short = F.col("observed_cycles") < window
-    tags.append(
-        F.struct(
-            F.lit("padded_vs_full").alias("split"),
-            F.when(short, F.lit(padded)).otherwise(F.lit(full)).alias("group"),
-        )
+    tags["padded_vs_full"] = F.when(short, F.lit(padded)).otherwise(F.lit(full))
+
+    columns = [f"_g{i}" for i in range(len(tags))]
+    rows = with_errors(df, y, p).select(
+        "error", "abs_error", "score_point", *[tag.alias(c) for c, tag in zip(columns, tags.values())]
     )
-    rows = with_errors(df, y, p)
-    stats = (
-        rows.select("error", "abs_error", "score_point", F.explode(F.array(*tags)).alias("_t"))
-        .select("_t.*", "error", "abs_error", "score_point")
-        .filter(F.col("group").isNotNull())
-        .groupBy("split", "group")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.avg("error").alias("mean_error"),
-            F.avg("abs_error").alias("mean_abs_error"),
-            F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
-            F.sum("score_point").alias("score_sum"),
-        )
+    sets = [[F.col(c)] for c in columns] + [[]]
+    stats = rows.groupingSets(sets, *[F.col(c) for c in columns]).agg(
+        F.grouping_id().alias("_set"),
+        F.count(F.lit(1)).alias("count"),
+        F.avg("error").alias("mean_error"),
+        F.avg("abs_error").alias("mean_abs_error"),
+        F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
+        F.sum("score_point").alias("score_sum"),
+    )
+    # a set's number has a bit for every column that it leaves out
+    whole = (1 << len(columns)) - 1
+    split = F.lit(None).cast("string")
+    for i, name in enumerate(tags):
+        split = F.when(F.col("_set") == whole - (1 << (len(columns) - 1 - i)), F.lit(name)).otherwise(split)
+    # one line per group and one for the whole: a fixed, small number
+    lines = Window.partitionBy(F.lit(1))
+    stats = stats.select(
+        split.alias("split"),
+        F.coalesce(*columns).alias("group"),
+        *[c for c in ("count", "mean_error", "mean_abs_error", "rmse", "score_sum")],
+        F.max(F.when(F.col("_set") == whole, F.col("score_sum"))).over(lines).alias("_total"),
     )
     groups = df.sparkSession.createDataFrame(names, "split string, group string")
-    total = rows.agg(F.sum("score_point").alias("_total"))
     return (
-        groups.join(stats, ["split", "group"], "left")
+        F.broadcast(groups)
+        .join(stats.filter(F.col("group").isNotNull()), ["split", "group"], "left")
         .fillna({"count": 0})
-        .crossJoin(F.broadcast(total))
         .withColumn("score_pct", F.try_divide(F.col("score_sum"), F.col("_total")) * 100)
         .drop("_total")
     )

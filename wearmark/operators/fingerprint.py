@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import general_format
@@ -9,6 +11,12 @@ from .segments import UNIT
 
 MODULUS = 1 << 61
 EXACT_ROWS = 100_000
+# Rows of a leaf of the hash tree, children of a node (one hex digit), and levels at most.
+LEAF_ROWS = 10_000
+FANOUT = 16
+MAX_DEPTH = 12
+# Fixed value: sha256 of nothing.
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def _text(df: DataFrame, name: str, digits: int) -> Column:
@@ -41,6 +49,73 @@ def table_fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def row_hash(df: DataFrame, digits: int = 6) -> Column:
+    """sha256 of a row's canonical text."""
+    return F.sha2(F.concat_ws("\x1f", *[_text(df, c, digits) for c in df.columns]), 256)
+
+
+def tree_depth(df: DataFrame) -> int:
+    """Levels below the root so that a leaf of ``df`` holds about ``LEAF_ROWS`` rows."""
+    rows, depth = df.count(), 0
+    while rows > LEAF_ROWS * FANOUT**depth and depth < MAX_DEPTH:
+        depth += 1
+    return depth
+
+
+def tree_hash(df: DataFrame, depth: int | None = None, by: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+    """``level, node, rows, sha256`` of every node of a hash tree over the rows; level 0 is the root.
+
+    Rows fall into ``16 ** depth`` leaves by a digest of the columns ``by`` (all
+    by default), so every leaf is a range of digests and ``node`` its hex prefix.
+    A leaf hashes its sorted row hashes, each with how often it occurs; a node
+    above hashes its children in order. Neither row order nor partitioning
+    matters, there is no bound on rows, and equal rows are counted before they
+    are shuffled. Two tables are compared at one ``depth`` by ``tree_changes``.
+    An empty table has a root over nothing.
+    """
+    depth = tree_depth(df) if depth is None else depth
+    place = F.sha2(F.concat_ws("\x1f", *[_text(df, c, digits) for c in (by or df.columns)]), 256)
+    counted = (
+        df.select(F.substring(place, 1, depth).alias("node"), row_hash(df, digits).alias("_row"))
+        .groupBy("node", "_row")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "_row", "_n")))
+    level = counted.groupBy("node").agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(listed, ","), 256).alias("sha256"))
+    level = level.select(F.lit(depth).alias("level"), "node", "rows", "sha256")
+    nodes = level
+    for above in range(depth - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.concat_ws(":", "node", "sha256")))
+        level = level.groupBy(F.substring("node", 1, above).alias("node")).agg(
+            F.sum("rows").alias("rows"), F.sha2(F.array_join(children, ","), 256).alias("sha256")
+        )
+        level = level.select(F.lit(above).alias("level"), "node", "rows", "sha256")
+        nodes = nodes.unionByName(level)
+    root = df.sparkSession.createDataFrame([(0, "", 0, EMPTY_SHA256)], "level int, node string, rows long, sha256 string")
+    return nodes.unionByName(root).groupBy("level", "node").agg(
+        F.max("rows").alias("rows"), F.max_by("sha256", "rows").alias("sha256")
+    )
+
+
+def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``level, node, rows_before, rows_after`` of the nodes whose hashes differ, or that one side lacks.
+
+    Both are trees of one depth; the changed leaves are those of the deepest
+    level, and ``rows_under`` picks their rows.
+    """
+    a = before.select("level", "node", F.col("rows").alias("rows_before"), F.col("sha256").alias("_a"))
+    b = after.select("level", "node", F.col("rows").alias("rows_after"), F.col("sha256").alias("_b"))
+    changed = a.join(b, ["level", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    return changed.drop("_a", "_b").fillna(0, ["rows_before", "rows_after"])
+
+
+def rows_under(df: DataFrame, changes: DataFrame, depth: int, by: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+    """The rows of ``df`` in the changed leaves of a tree of that depth."""
+    place = F.sha2(F.concat_ws("\x1f", *[_text(df, c, digits) for c in (by or df.columns)]), 256)
+    leaves = changes.filter(F.col("level") == depth).select(F.col("node").alias("_leaf"))
+    return df.withColumn("_leaf", F.substring(place, 1, depth)).join(leaves, "_leaf", "left_semi").drop("_leaf")
+
+
 def canonical_hash(df: DataFrame, digits: int = 6, max_rows: int = EXACT_ROWS) -> DataFrame:
     """sha256 of the sorted rows as CSV text, for manifest-sized tables.
 
