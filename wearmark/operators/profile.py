@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_column, clean, pearson
 from .quantiles import exact_median, exact_quantiles
 from .segments import ORDER, UNIT, number_rows
+from .sketches import merged, unit_sketches
 
 CONSTANT_EPS = 1e-12
 
@@ -19,12 +20,19 @@ def lifetimes(df: DataFrame, u: str = UNIT, o: str = ORDER) -> DataFrame:
     return df.groupBy(u).agg(F.max(o).cast("long").alias("lifetime"))
 
 
-def fleet_summary(df: DataFrame, u: str = UNIT, o: str = ORDER) -> DataFrame:
+def fleet_summary(df: DataFrame, u: str = UNIT, o: str = ORDER, sketch_size: int | None = None) -> DataFrame:
     """Units, rows and the spread of lifetimes (sample standard deviation).
 
-    The exact built-in median is safe here: lifetimes add up to at most the row
-    count n, so there are fewer than sqrt(2n) distinct ones to gather.
+    The median is exact unless ``sketch_size`` asks for one within
+    ``sketches.rank_error``. The built-in exact one gathers the distinct
+    lifetimes: where cycles have no gaps they add up to at most the row count n,
+    so there are fewer than sqrt(2n) of them; a fleet with gaps and very many
+    different lifetimes should take the sketch.
     """
+    median = F.expr("percentile(lifetime, 0.5D)")
+    if sketch_size is not None:
+        sketch = F.kll_sketch_agg_double(F.col("lifetime").cast("double"), sketch_size)
+        median = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
     per_unit = df.groupBy(u).agg(F.max(o).cast("long").alias("lifetime"), F.count(F.lit(1)).alias("rows"))
     return per_unit.agg(
         F.count(F.lit(1)).alias("units"),
@@ -32,7 +40,7 @@ def fleet_summary(df: DataFrame, u: str = UNIT, o: str = ORDER) -> DataFrame:
         F.min("lifetime").alias("min_lifetime"),
         F.max("lifetime").alias("max_lifetime"),
         F.avg("lifetime").alias("mean_lifetime"),
-        F.expr("percentile(lifetime, 0.5D)").alias("median_lifetime"),
+        median.alias("median_lifetime"),
         F.stddev_samp("lifetime").alias("std_lifetime"),
     )
 
@@ -100,8 +108,13 @@ def distinct_and_std(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return stds.join(counts, "setting", "left").fillna({"distinct_values": 0})
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max of one column; exact quartiles."""
+def describe(df: DataFrame, col: str, sketch_size: int | None = None) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max of one column.
+
+    Quartiles are exact, which shuffles every distinct value; with
+    ``sketch_size`` they come from one sketch in the same scan, within
+    ``sketches.rank_error``.
+    """
     value = clean(col)
     plain = df.agg(
         F.count(value).alias("count"),
@@ -110,6 +123,10 @@ def describe(df: DataFrame, col: str) -> DataFrame:
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
+    if sketch_size is not None:
+        sketch = merged(unit_sketches(df, col, [], sketch_size), [], sketch_size)
+        cells = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+        return plain.crossJoin(F.broadcast(sketch.filter(F.col("n") > 0).select(*cells)))
     quartiles = exact_quantiles(df, col, [0.25, 0.5, 0.75]).agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
