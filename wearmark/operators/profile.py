@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import as_column, clean, pearson
 from .quantiles import exact_median, exact_quantiles
-from .segments import ORDER, UNIT, number_rows
+from .segments import ORDER, UNIT, attach_units, number_rows
 from .sketches import merged, unit_sketches
 
 CONSTANT_EPS = 1e-12
@@ -160,33 +160,46 @@ def histogram(df: DataFrame, col: str, bins: int = 15) -> DataFrame:
 
 
 def representative_units(life: DataFrame, u: str = UNIT) -> DataFrame:
-    """Units of shortest, middle-rank and longest lifetime (ties by unit id)."""
-    ranked = number_rows(
-        life, [], ["lifetime", u], [F.col("lifetime"), F.floor(F.col(u) / 1_000_000)], "_rank"
-    )
-    size = life.agg(F.count(F.lit(1)).alias("_n"))
-    kind = (
-        F.when(F.col("_rank") == 1, F.array(F.lit("shortest")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    kind = F.concat(
-        kind,
-        F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.array(F.lit("middle"))).otherwise(
-            F.array().cast("array<string>")
-        ),
-        F.when(F.col("_rank") == F.col("_n"), F.array(F.lit("longest"))).otherwise(
-            F.array().cast("array<string>")
-        ),
+    """Units of shortest, middle-rank and longest lifetime (ties by unit id).
+
+    Lifetimes are counted first; only the units of the middle lifetime are then
+    numbered, in buckets of ids, so no window spans all units.
+    """
+    pair = F.struct("lifetime", u)
+    ends = life.agg(F.count(F.lit(1)).alias("_n"), F.min(pair).alias("shortest"), F.max(pair).alias("longest"))
+    sizes = life.groupBy("lifetime").agg(F.count(F.lit(1)).alias("_units"))
+    # one line per distinct lifetime
+    upto = Window.partitionBy(F.lit(1)).orderBy("lifetime").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.crossJoin(F.broadcast(ends.select("_n"))).withColumn("_upto", F.sum("_units").over(upto))
+    half = F.floor(F.col("_n") / 2)
+    middle = placed.filter((F.col("_upto") > half) & (F.col("_upto") - F.col("_units") <= half)).select(
+        "lifetime", (half - F.col("_upto") + F.col("_units")).alias("_place")
     )
-    return ranked.crossJoin(F.broadcast(size)).select(F.explode(kind).alias("kind"), u, "lifetime")
+    level = life.join(F.broadcast(middle), "lifetime")
+    numbered = number_rows(level, [], [u], [F.floor(F.col(u) / 1_000_000)], "_rank")
+    found = numbered.filter(F.col("_rank") == F.col("_place") + 1).select(F.lit("middle").alias("kind"), u, "lifetime")
+    cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("_p")) for k in ("shortest", "longest")])
+    outer = ends.filter(F.col("_n") > 0).select(F.explode(cells).alias("_c")).select("_c.kind", f"_c._p.{u}", "_c._p.lifetime")
+    return outer.unionByName(found)
+
+
+# Ids of a list that is broadcast.
+SHORT_LIST = 10_000
 
 
 def trajectories_of(
     df: DataFrame, units: DataFrame, cols: Sequence[str], u: str = UNIT, o: str = ORDER
 ) -> DataFrame:
-    """Plot-ready rows of chosen units. ``units`` is a short list of ids."""
+    """Plot-ready rows of chosen units.
+
+    Up to ``SHORT_LIST`` ids are broadcast, so no trajectory is shuffled; a
+    longer list meets the rows by (unit, segment).
+    """
     chosen = units.select(u).distinct()
-    return df.select(u, o, *cols).join(chosen, u, "left_semi")
+    rows = df.select(u, o, *cols)
+    if chosen.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        return rows.join(F.broadcast(chosen), u, "left_semi")
+    return attach_units(rows, chosen, u, o)
 
 
 def target_distribution(df: DataFrame, threshold: float = 45, target: str = "rul") -> DataFrame:
