@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wearmark.llm import mixing, neardup, packing, quality, secrets
-from wearmark.llm.common import read, written
+from wearmark.llm.common import bounded_batches, read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,11 +24,13 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voted quality verdict keeps."""
+    bounded_batches(spark)
     return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    bounded_batches(spark)
     return neardup.deduplicated(docs)
 
 
@@ -44,6 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -13,6 +13,8 @@ from ..session import shared_folder
 
 # Rows of a single long id (with its overhead) that a forced broadcast may hold.
 BROADCAST_ROWS = 1_000_000
+# Bytes of texts that a Python worker gets at a time.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 # Rows that share one key and are numbered by one task.
 RANK_ROWS = 200_000
 
@@ -46,6 +48,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session was started with a bound of its own.
+
+    Spark's default lets a batch of whole texts grow to 64 MB, several times
+    over on both sides of a worker.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def worker_state(name: str, make: Callable[[], object]):
     """What the tasks of one reused Python worker share under ``name``; made by ``make`` when first asked for.
 
