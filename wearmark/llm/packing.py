@@ -23,7 +23,7 @@ from .common import byte_letters, lean, ranked, text_or_empty, worker_state, wri
 
 WINDOW = 4096
 END_ID = 2
-CACHE_BYTES = 24 << 20  # of chunks and ids that a worker keeps
+CACHE_BYTES = 56 << 20  # of chunks and ids that a worker keeps, about 300,000 entries
 ENTRY_BYTES = 160  # of one entry besides its text
 ENCODE_ROWS = 200  # texts whose new chunks are looked up together
 # Spaces of str.split that the tokenizer does not treat as white space.
