@@ -10,6 +10,8 @@ different ones stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
@@ -54,6 +56,11 @@ def _number(key: str, kind: str, round_: Column, value: Column, modulus: Column
     return F.pmod(n, F.lit(modulus) if isinstance(modulus, int) else modulus)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _template(value: Column) -> Column:
     """One class letter per character: d digit, a lower, A upper, anything else stays fixed."""
     return F.translate(value, _DIGITS + _UPPER + _LOWER, "d" * 10 + "A" * 26 + "a" * 26)
@@ -64,6 +71,10 @@ def permuted(value: Column, template: Column, key: str | Column, kind: str | Col
 
     Places whose template letter is d, A or a move inside their class.
     """
+    return _let(template, lambda t: _network(value, t, key, kind))
+
+
+def _network(value: Column, template: Column, key: str | Column, kind: str | Column) -> Column:
 
     def others(text: Column, r: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.pmod(i + r, F.lit(2)) == 0)
@@ -116,43 +127,56 @@ def _compact(value: Column) -> Column:
 def laid(value: Column, compact: Column) -> Column:
     """``value`` with its letters and digits replaced, in order, by those of ``compact``; what separates them stays."""
 
-    def one(i: Column) -> Column:
+    def one(new: Column, i: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         at = F.length(_compact(F.substring(value, F.lit(1), i)))
-        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(compact, at, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(new, at, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    places = F.sequence(F.lit(1), F.length(value))
+    return _let(compact, lambda new: F.array_join(F.transform(places, lambda i: one(new, i)), ""))
 
 
 def card(value: Column, key: str) -> Column:
     """All digits but the check digit move, alike however the number is spaced."""
-    digits = _compact(value)
-    moved = permuted(_last_replaced(digits, F.lit(0)), _last_replaced(_template(digits), F.lit("x")), key, "card")
-    closed = _last_replaced(moved, F.pmod(-luhn_sum(moved), F.lit(10)))
-    return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, laid(value, closed)).otherwise(value)
+
+    def moved(digits: Column) -> Column:
+        template = _last_replaced(_template(digits), F.lit("x"))
+        new = permuted(_last_replaced(digits, F.lit(0)), template, key, "card")
+        closed = _let(new, lambda n: _last_replaced(n, F.pmod(-luhn_sum(n), F.lit(10))))
+        return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, laid(value, closed)).otherwise(value)
+
+    return _let(_compact(value), moved)
 
 
 def _iban_rest(compact: Column) -> Column:
     """Remainder modulo 97 of an IBAN without spaces."""
-    turned = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, F.lit(1), F.lit(4)))
+    back = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, F.lit(1), F.lit(4)))
 
-    def add(acc: Column, i: Column) -> Column:
-        c = F.substring(turned, i, F.lit(1))
+    def add(acc: Column, c: Column) -> Column:
         v = F.instr(F.lit(_DIGITS + _UPPER), c) - 1
         return F.pmod(F.when(v > 9, acc * 100 + v).otherwise(acc * 10 + v), F.lit(97))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
+    def rest(turned: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(turned))
+        return F.aggregate(places, F.lit(0), lambda acc, i: add(acc, F.substring(turned, i, F.lit(1))))
+
+    return _let(back, rest)
 
 
 def iban(value: Column, key: str) -> Column:
     """The account moves, alike however the number is spaced; country and length stay, check digits are new."""
-    compact = _compact(value)
-    open_ = F.concat(F.substring(compact, 1, 2), F.lit("00"), F.substring(compact, F.lit(5), F.length(compact)))
-    template = F.concat(F.lit("xxxx"), F.substring(_template(compact), F.lit(5), F.length(compact)))
-    moved = permuted(open_, template, key, "iban")
-    check = F.lpad((98 - _iban_rest(moved)).cast("string"), 2, "0")
-    closed = F.concat(F.substring(moved, 1, 2), check, F.substring(moved, F.lit(5), F.length(moved)))
-    return F.when(_iban_rest(compact) == 1, laid(value, closed)).otherwise(value)
+
+    def closed(new: Column) -> Column:
+        check = F.lpad((98 - _iban_rest(new)).cast("string"), 2, "0")
+        return F.concat(F.substring(new, 1, 2), check, F.substring(new, F.lit(5), F.length(new)))
+
+    def moved(compact: Column) -> Column:
+        open_ = F.concat(F.substring(compact, 1, 2), F.lit("00"), F.substring(compact, F.lit(5), F.length(compact)))
+        template = F.concat(F.lit("xxxx"), F.substring(_template(compact), F.lit(5), F.length(compact)))
+        new = _let(permuted(open_, template, key, "iban"), closed)
+        return F.when(_iban_rest(compact) == 1, laid(value, new)).otherwise(value)
+
+    return _let(_compact(value), moved)
 
 
 def ip(value: Column, key: str) -> Column:
@@ -207,14 +231,20 @@ def email(value: Column, key: str) -> Column:
 
 def phone(value: Column, key: str) -> Column:
     """All digits but those of the country move, alike however the number is written, with or without +1."""
-    digits = _compact(value)
     abroad = F.startswith(value, F.lit("+"))
-    head = F.when(abroad & F.startswith(digits, F.lit("1")), 1).when(abroad, 2).otherwise(0)
-    country, rest = F.substring(digits, F.lit(1), head), F.substring(digits, head + 1, F.length(digits))
-    # the country of other numbers counts; +1 is what numbers without one are taken for
-    place = F.when(head == 2, country).otherwise("")
-    moved = permuted(rest, _template(rest), F.lit(key), F.concat(F.lit("phone"), place))
-    return laid(value, F.concat(country, moved))
+
+    def moved(digits: Column) -> Column:
+        head = F.when(abroad & F.startswith(digits, F.lit("1")), 1).when(abroad, 2).otherwise(0)
+        country = F.substring(digits, F.lit(1), head)
+        # the country of other numbers counts; +1 is what numbers without one are taken for
+        kind = F.concat(F.lit("phone"), F.when(head == 2, country).otherwise(""))
+        new = _let(
+            F.substring(digits, head + 1, F.length(digits)),
+            lambda rest: permuted(rest, _template(rest), F.lit(key), kind),
+        )
+        return laid(value, F.concat(country, new))
+
+    return _let(_compact(value), moved)
 
 
 def ssn(value: Column, key: str) -> Column:
