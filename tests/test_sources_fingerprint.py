@@ -87,6 +87,20 @@ def test_canonical_hash_is_sha256_of_sorted_csv(spark):
     assert fingerprint.id_set_hash(df, "id").first()["sha256"] == ids
 
 
+def test_canonical_hash_of_many_rows_is_that_of_one_text(spark):
+    import hashlib
+
+    rows = 230_000
+    df = spark.range(rows).select((F.lit(7) * F.col("id") % rows).alias("id"), (F.col("id") % 3 / 2).alias("f"))
+    doubled = df.unionByName(df.filter("id < 50000"))
+    lines = sorted([(7 * i % rows, i % 3 / 2) for i in range(rows)])
+    lines = [x for x in lines for _ in range(2 if x[0] < 50000 else 1)]
+    want = hashlib.sha256(("id,f\n" + "".join(f"{i},{f:g}\n" for i, f in lines)).encode()).hexdigest()
+    assert tuple(fingerprint.canonical_hash(doubled.repartition(5)).first()) == (rows + 50000, want)
+    nothing = fingerprint.canonical_hash(df.limit(0)).collect()
+    assert [tuple(r) for r in nothing] == [(0, hashlib.sha256(b"id,f\n").hexdigest())]
+
+
 def test_verify(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "table string, rows long")
     new = spark.createDataFrame([("a", 1), ("b", 3), ("c", 1)], "table string, rows long")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import general_format
 from .segments import UNIT
 
 MODULUS = 1 << 61
-EXACT_ROWS = 100_000
 # Rows of a leaf of the hash tree, children of a node (one hex digit), and levels at most.
 LEAF_ROWS = 10_000
 FANOUT = 16
@@ -116,11 +118,12 @@ def rows_under(df: DataFrame, changes: DataFrame, depth: int, by: Sequence[str]
     return df.withColumn("_leaf", F.substring(place, 1, depth)).join(leaves, "_leaf", "left_semi").drop("_leaf")
 
 
-def canonical_hash(df: DataFrame, digits: int = 6, max_rows: int = EXACT_ROWS) -> DataFrame:
-    """sha256 of the sorted rows as CSV text, for manifest-sized tables.
+def canonical_hash(df: DataFrame, digits: int = 6, max_rows: int | None = None) -> DataFrame:
+    """sha256 of the sorted rows as CSV text; any size, unless ``max_rows`` makes more rows an error.
 
-    The rows meet in one task, so more than ``max_rows`` is an error; larger
-    tables use ``table_fingerprint``.
+    Rows are sorted and joined to blocks of text by all tasks. One digest over
+    one text is sequential by definition, so a last task feeds it the blocks in
+    order, one Arrow batch at a time, and holds no more than that.
     """
 
     def field(name: str) -> Column:
@@ -129,25 +132,41 @@ def canonical_hash(df: DataFrame, digits: int = 6, max_rows: int = EXACT_ROWS) -
         return F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text)
 
     keys = []
-    for name in df.columns:
+    for i, name in enumerate(df.columns):
         whole = isinstance(df.schema[name].dataType, T.IntegralType)
-        keys.append((F.col(name) if whole else _text(df, name, digits)).alias(f"_k_{name}"))
+        keys.append((F.col(name) if whole else _text(df, name, digits)).alias(f"_k{i}"))
     line = F.concat_ws(",", *[field(c) for c in df.columns])
-    rows = df.select(F.struct(*keys, line.alias("_line")).alias("_r"))
-    bounded = rows.limit(max_rows + 1)
-    header = ",".join(df.columns)
-    gathered = bounded.agg(
-        F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_list("_r")).alias("_all")
-    )
-    body = F.concat(
-        F.lit(header + "\n"),
-        F.array_join(F.transform("_all", lambda r: F.concat(r["_line"], F.lit("\n"))), ""),
-    )
-    fits = F.col("rows") <= max_rows
-    problem = F.raise_error(F.lit(f"more than {max_rows} rows: use table_fingerprint"))
-    return gathered.select(
-        "rows", F.when(fits, F.sha2(body, 256)).otherwise(problem.cast("string")).alias("sha256")
+    ordered = df.select(*keys, line.alias("_line")).orderBy(*[f"_k{i}" for i in range(len(keys))]).select("_line")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # equal rows share a range, so the number of the range and of the block in it give the order
+        part = TaskContext.get().partitionId()
+        for place, batch in enumerate(batches):
+            lines = batch.column(0).to_pylist()
+            text = "".join(f"{x}\n" for x in lines).encode()
+            yield pa.RecordBatch.from_pydict(
+                {"part": pa.array([part], pa.int32()), "place": [place], "rows": [len(lines)], "text": [text]}
+            )
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, state = 0, hashlib.sha256()
+        for batch in batches:
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += n
+                state.update(text.as_buffer())
+        yield pa.RecordBatch.from_pydict({"rows": [rows], "sha256": [state.hexdigest()]})
+
+    blocks = ordered.mapInArrow(joined, "part int, place long, rows long, text binary")
+    header = F.lit(",".join(df.columns) + "\n").cast("binary")
+    first = df.sparkSession.range(1).select(
+        F.lit(-1).alias("part"), F.col("id").alias("place"), F.lit(0).cast("long").alias("rows"), header.alias("text")
     )
+    stream = first.unionByName(blocks).repartition(1).sortWithinPartitions("part", "place")
+    hashed = stream.select("rows", "text").mapInArrow(digest, "rows long, sha256 string")
+    if max_rows is None:
+        return hashed
+    problem = F.raise_error(F.lit(f"more than {max_rows} rows: use table_fingerprint")).cast("string")
+    return hashed.withColumn("sha256", F.when(F.col("rows") <= max_rows, F.col("sha256")).otherwise(problem))
 
 
 def id_set_hash(df: DataFrame, u: str = UNIT, max_ids: int = 1_000_000) -> DataFrame:
