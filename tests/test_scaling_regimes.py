@@ -104,6 +104,22 @@ def test_ten_starts_are_no_worse_than_ten_single_runs(spark):
     assert len(table) == len(names)
 
 
+def test_repeated_settings_are_scanned_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 4, (3000, 3)).astype(float)
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in values], "setting_1 double, setting_2 double, setting_3 double")
+    scanned, real = [], regimes._step
+    monkeypatch.setattr(regimes, "_step", lambda points, *a: scanned.append(points.count()) or real(points, *a))
+    model = regimes.fit_regimes(df.repartition(5), SETTINGS, k=5)
+    assert max(scanned) <= 64  # places, however many rows
+    gaps = ((values[:, None] - model.centers[None]) ** 2).sum(axis=2)
+    assert gaps.min(axis=1).sum() == pytest.approx(model.cost)
+    for i, centre in enumerate(model.centers):  # at rest over the rows
+        np.testing.assert_allclose(values[gaps.argmin(axis=1) == i].mean(axis=0), centre, atol=1e-5)
+    again = regimes.fit_regimes(df.repartition(3), SETTINGS, k=5)
+    np.testing.assert_allclose(again.centers, model.centers, rtol=1e-12)
+
+
 def test_fewer_places_than_regimes(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 50 + [(4.0, 5.0, 6.0)] * 3, "setting_1 double, setting_2 double, setting_3 double")
     model = regimes.fit_regimes(df, SETTINGS, k=4)
