@@ -49,6 +49,23 @@ def test_callable_sees_no_future_rows(spark, ramp):
     }
 
 
+def test_callable_gets_many_checkpoints_a_frame(spark, ramp):
+    manifest = ramp.filter("cycle % 3 = 0").select("unit_id", F.col("cycle").alias("cutoff_cycle"))
+    got = evaluate.evaluate_with_callable(ramp, manifest, lambda h, cutoff: h["f1"].sum() + 1000 * len(h), 20, segment_rows=32)
+    assert "MapInPandas" in got._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", before):  # checkpoints cross the borders of frames
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            rows = got.collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(rows) == manifest.count()
+        for r in rows:
+            seen = range(max(1, r["cutoff_cycle"] - 19), r["cutoff_cycle"] + 1)
+            assert r["prediction"] == sum(seen) + 1000 * len(seen)
+
+
 def test_terminal_evaluation(spark, ramp):
     labels = spark.createDataFrame([(i, 10 * i) for i in (1, 2, 3, 4)], "unit_id long, true_rul long")
     got = evaluate.evaluate_terminal(ramp, labels, models.FormulaModel(0.0, {"f1_latest": 1.0}), ["f1"], gapless=True)
