@@ -146,6 +146,22 @@ def test_grid_breaks_off_and_is_resumed(spark, fleet, roles, tmp_path, monkeypat
     assert found["linear_w8_cap20_s42"]["overrides"] == "cap=20"
 
 
+def test_grid_makes_features_once_per_window(spark, fleet, roles, tmp_path, monkeypatch):
+    made, real = [], flows.dense_features
+    monkeypatch.setattr(flows, "dense_features", lambda df, cols, w, **more: made.append(w) or real(df, cols, w, **more))
+    points = flows.grid_points((8,), ("mean", "linear"), [("linear", 8, {"cap": 20}), ("mean", 4, {"cap": 20})])
+    results, _ = flows.run_grid(fleet, roles, ["s1"], points, str(tmp_path / "grid"), parallel=2)
+    assert made == [8]  # caps share a table, the mean needs none
+    units = {r[0] for r in roles.filter("role = 'train'").collect()}
+    frame = fleet.toPandas()
+    frame = frame[frame.unit_id.isin(units)]
+    left = frame.groupby("unit_id")["cycle"].transform("max") - frame["cycle"]
+    held = spark.read.parquet(str(tmp_path / "grid" / "predictions"))
+    for name, want in (("mean_w8_s42", left.mean()), ("mean_w4_cap20_s42", left.clip(upper=20).mean())):
+        got = {r[0] for r in held.filter(F.col("experiment_id") == name).select("prediction").collect()}
+        assert len(got) == 1 and got.pop() == pytest.approx(want)
+
+
 def test_interrupted_grid_cancels_and_resumes(spark, fleet, roles, tmp_path, monkeypatch):
     """The caller is interrupted half way: what ended is stored, what had not started never starts."""
     points = flows.grid_points((8, 6, 4), ("mean",))
