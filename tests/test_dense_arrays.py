@@ -61,3 +61,33 @@ def test_comparison_numbers_the_fleet_and_finds_regimes_once(spark, monkeypatch)
     assert lines["C"]["inputs"] == 1 and lines["D"]["inputs"] == 4
     assert len(found) == 2  # of the inner rows and of all training rows, for both variants
     assert seen.value == fleet.count()
+
+
+def test_features_are_scaled_as_their_columns(spark, noisy):
+    cols, key = ["s1", "s2", "s3"], ["unit_id", "cycle"]
+    pre = regimes.fit_variant(noisy, "A", cols, [])
+    plain = features.dense_arrays(noisy, cols, 8, gapless=True)
+    got = features.scale_features(plain, pre.sensor_params, cols).toPandas().sort_values(key)
+    want = features.dense_features(regimes.variant_matrix(noisy, pre), cols, 8, gapless=True).toPandas().sort_values(key)
+    assert list(got.columns) == list(want.columns)
+    np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=1e-9)
+
+
+def test_variants_share_their_tables(spark, monkeypatch):
+    made, real, tables = [], flows.dense_arrays, {}
+    monkeypatch.setattr(flows, "dense_arrays", lambda df, cols, *a, **k: made.append(len(cols)) or real(df, cols, *a, **k))
+    fit = boosting.boost
+    for variants in (("A", "B", "C", "D"), ("A",), ("C",)):
+        read = []
+        monkeypatch.setattr(boosting, "boost", lambda rows, *a, **b: read.append(rows.inputFiles()[0]) or fit(rows, *a, **b))
+        results, _ = flows.compare_variants(
+            catalogue.events_fleet(spark, SF), catalogue.split3(spark, SF), ["sensor_1"], ["setting_3"], 8,
+            catalogue.inner_stop(), k=2, params={"maxIter": 2, "maxDepth": 2}, variants=variants, n_init=1,
+        )
+        tables[variants] = {r["variant"]: r for r in results.drop("training_time").collect()}
+        assert len(read) == 2 * len(variants)
+    # one table of A and B, one a stage of C and D; alone, A has one and C one a stage
+    assert made == [2, 4, 4] + [1] + [1, 1]
+    for alone in ("A", "C"):
+        for name, value in tables[(alone,)][alone].asDict().items():
+            assert tables[("A", "B", "C", "D")][alone][name] == (pytest.approx(value) if isinstance(value, float) else value)
